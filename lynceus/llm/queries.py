@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, packing, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -46,3 +46,50 @@ def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@_query
+def op5_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op5_redirect_url_filter"] = r"""
+WITH RECURSIVE rules(v, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+pg AS (SELECT page_id, url, html, row_number() OVER () AS uid FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM pg),
+links AS (
+  SELECT url AS f, CASE
+      WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+    END AS t FROM tags),
+whole AS (
+  SELECT f, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(f, '(?s)^(.*?:)//', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(f, '(?s)^(.*?://[^/?#]*)', 1) || t END AS t
+  FROM links WHERE contains(f, '://') AND t <> ''),
+urls AS (SELECT f AS u FROM whole UNION SELECT t FROM whole UNION SELECT url FROM pg WHERE contains(url, '://')),
+heads AS (SELECT u, regexp_replace(u, '(?s)#.*$', '') AS x, regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) AS hd FROM urls WHERE u IS NOT NULL),
+nodes AS (
+  SELECT u, translate(hd, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(x, length(hd) + 1) AS n FROM heads),
+edges AS (SELECT DISTINCT a.n AS a, b.n AS b FROM whole JOIN nodes a ON whole.f = a.u JOIN nodes b ON whole.t = b.u WHERE a.n <> b.n),
+both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+split AS (
+  SELECT u, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT DISTINCT url AS u FROM pg UNION SELECT n FROM nodes)),
+best AS (
+  SELECT u, arg_max(v, length(h || p)) AS v, arg_max(h || p, length(h || p)) AS r
+  FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u),
+alias AS (SELECT reach.a AS n, min(best.v) AS v FROM reach JOIN best ON reach.b = best.u GROUP BY 1)
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, alias.v, 'allow') AS verdict
+FROM pg LEFT JOIN split ON pg.url IS NOT DISTINCT FROM split.u LEFT JOIN best ON pg.url = best.u
+  LEFT JOIN nodes ON pg.url = nodes.u LEFT JOIN alias ON nodes.n = alias.n
+"""
