@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, url_filter
+from . import decontamination, exact_dedup, language_id, packing, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -79,8 +79,8 @@ heads AS (SELECT u, regexp_replace(u, '(?s)#.*$', '') AS x, regexp_extract(u, '(
 nodes AS (
   SELECT u, translate(hd, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(x, length(hd) + 1) AS n FROM heads),
 edges AS (SELECT DISTINCT a.n AS a, b.n AS b FROM whole JOIN nodes a ON whole.f = a.u JOIN nodes b ON whole.t = b.u WHERE a.n <> b.n),
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+edge2 AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM edge2 UNION SELECT r.a, e.b FROM reach r JOIN edge2 e ON r.b = e.a),
 split AS (
   SELECT u, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
@@ -93,3 +93,42 @@ SELECT page_id, host, path, best.r AS rule, coalesce(best.v, alias.v, 'allow') A
 FROM pg LEFT JOIN split ON pg.url IS NOT DISTINCT FROM split.u LEFT JOIN best ON pg.url = best.u
   LEFT JOIN nodes ON pg.url = nodes.u LEFT JOIN alias ON nodes.n = alias.n
 """
+
+
+@_query
+def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op3_positional_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS uid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS k, least(len(w), 10) AS n FROM starts),
+spots AS (SELECT uid, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+hit AS (
+  SELECT DISTINCT uid, s, n, item_id
+  FROM (SELECT uid, s, n AS m, array_to_string(w[s:s + n - 1], ' ') AS k FROM spots, (SELECT DISTINCT n FROM wins) WHERE s + n - 1 <= len(w)) c
+  JOIN wins ON wins.k = c.k AND wins.n = c.m),
+inside AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY uid),
+listed AS (SELECT uid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT uid, item_id::VARCHAR AS i FROM hit) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN inside USING (uid) LEFT JOIN listed USING (uid)
+"""
+
+
+def held_out(folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls in the fold; a null id is in none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+@_query
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.train_profiles(docs.where(~held_out(5, 0)))
+    return language_id.predict_language(docs, profiles, keep=[F.col("doc_id"), held_out(5, 0).alias("held_out")])
