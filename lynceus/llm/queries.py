@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing, sharding, url_filter
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -132,3 +132,8 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.train_profiles(docs.where(~held_out(5, 0)))
     return language_id.predict_language(docs, profiles, keep=[F.col("doc_id"), held_out(5, 0).alias("held_out")])
+
+
+@_query
+def op8_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
