@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, url_filter
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -137,3 +137,21 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 @_query
 def op8_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_label(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Documents with their label where they have one; of repeated labels the largest counts."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias(label))
+    return table(spark, sf_dir, "documents").join(labels, "doc_id")
+
+
+@_query
+def op6_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(_with_label(spark, sf_dir, "toxic").where(~held_out(5, 0)))
+    return toxicity.score(table(spark, sf_dir, "documents"), model, keep=[F.col("doc_id"), held_out(5, 0).alias("held_out")])
+
+
+@_query
+def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_crf.train(_with_label(spark, sf_dir, "quality").where(~held_out(3, 1)))
+    return quality_crf.score(table(spark, sf_dir, "documents"), model, keep=[F.col("doc_id"), held_out(3, 1).alias("held_out")])
