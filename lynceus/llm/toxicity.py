@@ -34,9 +34,10 @@ REACH = max(p[-1] for p in PATTERNS)
 BITS = 5
 LANDMARKS = 128
 #: Training documents of each label, chosen by a hash of the text, and the longest that trains.
-TRAIN_DOCS = 1200
-TRAIN_CHARS = 20_000
-SENTENCE_CHARS = 200
+TRAIN_DOCS = 1000
+TRAIN_CHARS = 10_000
+#: Sentences are looked at in overlapping pieces of two halves.
+HALF_PIECE = 24
 CHUNK_CHARS = 1 << 20
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
@@ -53,8 +54,26 @@ def _symbol_table() -> np.ndarray:
 TABLE = _symbol_table()
 
 
+def _repeats(symbols: np.ndarray) -> np.ndarray:
+    """Whether each symbol lies in a word equal to the word before."""
+    letter = symbols != 0
+    before = np.concatenate([[False], letter[:-1]])
+    begin, end = np.flatnonzero(letter & ~before), np.flatnonzero(np.append(letter[:-1] & ~letter[1:], letter[-1:]))
+    if not len(begin):
+        return np.zeros(len(symbols), bool)
+    place = np.arange(len(symbols)) - begin[np.maximum(np.searchsorted(begin, np.arange(len(symbols)), side="right") - 1, 0)]
+    powers = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.cumsum(np.where(letter, symbols.astype(np.uint64) * powers[np.clip(place, 0, 63)], np.uint64(0)))
+    own = sums[end] - np.concatenate([[np.uint64(0)], sums])[begin]
+    same = np.append(False, own[1:] == own[:-1])
+    out = np.zeros(len(symbols) + 1, np.int8)
+    out[begin[same]] += 1
+    out[end[same] + 1] -= 1
+    return np.cumsum(out[:-1]) > 0
+
+
 class Characters:
-    """The characters of some texts, laid end to end: symbols, sentence starts, and each sentence's text."""
+    """The characters of some texts, laid end to end: symbols, the half pieces of sentences, and each one's text."""
 
     def __init__(self, texts: list[str]):
         pad = np.zeros(REACH, np.uint32)
@@ -65,8 +84,9 @@ class Characters:
             owner_sizes.append(len(own) + REACH)
         flat = np.concatenate([*points, np.empty(0, np.uint32)])
         self.symbols = np.concatenate([TABLE[np.minimum(flat, len(TABLE) - 1)], np.zeros(REACH, np.int32)])
+        self.symbols[_repeats(self.symbols)] = 0  # a word right after itself adds nothing
         text_starts = np.cumsum([0, *owner_sizes])[:-1].astype(np.int64)
-        # A sentence starts after a full stop and white space, a new line, and every SENTENCE_CHARS characters.
+        # A sentence starts after a full stop and white space or a new line; it is cut into halves of pieces.
         stop = np.isin(flat, [33, 46, 63])
         starts = np.zeros(len(flat), bool)
         starts[text_starts] = True
@@ -74,11 +94,22 @@ class Characters:
         starts[2:] |= stop[:-2] & (flat[1:-1] == 32)
         begin = np.flatnonzero(starts)
         within = np.arange(len(flat)) - np.repeat(begin, np.diff([*begin, len(flat)]))
-        self.starts = np.flatnonzero(within % SENTENCE_CHARS == 0)
+        self.starts = np.flatnonzero(within % HALF_PIECE == 0)
         self.lengths = np.diff([*self.starts, len(flat)])
         self.text_of = np.searchsorted(text_starts, self.starts, side="right") - 1
+        # Whether a half goes on in the next one.
+        self.joined = np.append(np.diff(self.text_of) == 0, False)[: len(self.starts)]
         self.size = len(flat)
 
+    def pieces(self, halves: np.ndarray) -> np.ndarray:
+        """Sums of each half and, in the same text, the next one, over the root of their length."""
+        following = np.zeros_like(halves)
+        following[:-1] = halves[1:]
+        following[~self.joined] = 0
+        length = self.lengths + np.where(self.joined, np.append(self.lengths[1:], 0), 0)
+        scale = np.sqrt(length + 10.0).astype(np.float32)
+        return (halves + following) / (scale[:, None] if halves.ndim == 2 else scale)
+
     def codes(self) -> Iterator[tuple[np.ndarray, float]]:
         """For each pattern the code of the sequence at each character, with the pattern's decay; codes with a gap symbol have no weight."""
         shifted = [self.symbols[k : k + self.size] << 0 for k in range(REACH + 1)]
@@ -113,16 +144,16 @@ def kernel_map(strings: list[str]) -> list[dict[int, float]]:
 class ToxicityModel:
     weights: np.ndarray  # of each sequence
     bias: float
-    curve: tuple[float, float, float]  # logistic: on the highest sentence, on the log of the number of sentences, constant
+    curve: tuple[float, float, float]  # logistic: on the highest piece, on the log of the number of pieces, constant
 
-    def sentence_scores(self, c: Characters) -> np.ndarray:
+    def piece_scores(self, c: Characters) -> np.ndarray:
         at = np.zeros(c.size, np.float32)
         for code, decay in c.codes():
             at += self.weights[code] * np.float32(decay)
-        return np.add.reduceat(at, c.starts) / np.sqrt(c.lengths + 20.0) + self.bias if c.size else np.empty(0)
+        return c.pieces(np.add.reduceat(at, c.starts)) + self.bias if c.size else np.empty(0)
 
     def document_features(self, c: Characters, n: int) -> np.ndarray:
-        scores = self.sentence_scores(c)
+        scores = self.piece_scores(c)
         firsts = np.searchsorted(c.text_of, np.arange(n))
         top = np.maximum.reduceat(scores, firsts)
         return np.column_stack([top, np.log(np.diff([*firsts, len(scores)])), np.ones(n)])
@@ -132,19 +163,30 @@ class ToxicityModel:
 
 
 def _landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words that tell the labels apart, and, for a third, words of the other texts."""
-    counts = Counter(), Counter()
+    """Parts of words that tell the labels apart, and, for a third, words of the other texts."""
+    counts, others = (Counter(), Counter()), set()
     for t, y in zip(texts, toxic):
-        counts[int(y)].update({w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() if len(w) >= ORDER})
-    n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    telling = sorted(counts[1], key=lambda w: (counts[0][w] / n[1] - counts[1][w] / n[0], w))[: LANDMARKS * 2 // 3]
-    rng = np.random.default_rng(3)
-    rest = sorted(set(counts[0]) - set(telling))
-    return telling + [rest[i] for i in rng.permutation(len(rest))[: LANDMARKS - len(telling)]]
+        words = {w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() if len(w) >= ORDER}
+        counts[int(y)].update({w[i : i + k] for w in words for k in (4, 5, 6) for i in range(len(w) - k + 1)})
+        others |= set() if y else words
+    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+
+    def told(part: str) -> float:
+        p1, p0 = counts[1][part] / n1, counts[0][part] / n0
+        return (p1 - p0) / (p0 / n0 + p1 / n1 + 1 / n0**2) ** 0.5
+
+    telling: list[str] = []
+    for part in sorted((u for u, c in counts[1].items() if c > 2), key=lambda u: (-told(u), u)):
+        if told(part) <= 0 or len(telling) == LANDMARKS * 2 // 3:
+            break
+        if not any(part in u for u in telling):
+            telling.append(part)
+    rest = sorted(others)
+    return telling + [rest[i] for i in np.random.default_rng(3).permutation(len(rest))[: LANDMARKS - len(telling)]]
 
 
 def _kernel(c: Characters, row_of: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel values of each sentence with each landmark, over the root of the sentence's length."""
+    """Kernel values of each piece with each landmark."""
     sentence = np.repeat(np.arange(len(c.starts)), c.lengths)
     out = np.zeros((len(c.starts), table.shape[1]), np.float32)
     for code, decay in c.codes():
@@ -154,7 +196,7 @@ def _kernel(c: Characters, row_of: np.ndarray, table: np.ndarray) -> np.ndarray:
             some = hit[i : i + 50_000]
             own, first = np.unique(sentence[some], return_index=True)
             out[own] += np.add.reduceat(table[rows[some]], first, axis=0) * np.float32(decay)
-    return out / np.sqrt(c.lengths + 20.0)[:, None].astype(np.float32)
+    return c.pieces(out)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -202,8 +244,8 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     values, vectors = np.linalg.eigh(between + 1e-3 * np.eye(len(maps)))
     whiten = (vectors / np.sqrt(values)) @ vectors.T
     chunks = [Characters([t]) for t in texts]
-    kernel = np.concatenate([_kernel(c, row_of, table) for c in chunks])
-    x = (kernel @ whiten).astype(np.float32)
+    whiten = whiten.astype(np.float32)
+    x = np.concatenate([_kernel(c, row_of, table) @ whiten for c in chunks])
     doc = np.repeat(np.arange(len(texts)), [len(c.starts) for c in chunks])
     y = np.where(toxic[doc], 1.0, -1.0).astype(np.float32)
     keep = np.ones(len(y), bool)
@@ -216,7 +258,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
         top = np.maximum.reduceat(f, first)[doc]
         keep = (y < 0) | (f >= top) | (f > 0.5)  # of toxic documents the highest sentence and those like it
     weights = nothing.copy()
-    weights[features] = table @ (whiten @ w).astype(np.float32)
+    weights[features] = table @ (whiten @ w)
     weights[~_no_gap()] = 0
     model = ToxicityModel(weights, b, (1.0, 0.0, 0.0))
     seen = np.concatenate([model.document_features(c, 1) for c in chunks])
