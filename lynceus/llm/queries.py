@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -155,3 +155,8 @@ def op6_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_crf.train(_with_label(spark, sf_dir, "quality").where(~held_out(3, 1)))
     return quality_crf.score(table(spark, sf_dir, "documents"), model, keep=[F.col("doc_id"), held_out(3, 1).alias("held_out")])
+
+
+@_query
+def op9_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
