@@ -192,8 +192,11 @@ def _neighbours(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _search(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``tasks``: task, cls, side. Links a, b from each task's search."""
-    filled = tasks.join(sets, "cls")
+    """``tasks``: task, cls, side. Links a, b from each task's search.
+
+    Where the tasks' names can be broadcast, each set is shuffled once, to its task.
+    """
+    filled = sets.join(broadcast_if(materialize(tasks, "tasks"), BROADCAST_ROWS), "cls")
     return filled.groupBy("task").applyInArrow(lambda t: _search_task(t, percent), "a long, b long")
 
 
@@ -201,11 +204,13 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges a, b between classes whose components are those of all links."""
     spark = docs.sparkSession
     edges = materialize(_neighbours(classes, percent), "neighbours")
-    family = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "n", "text_hash"), "cls"), "families")
+    family = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "n", "rep"), "cls"), "families")
     total = family.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = materialize(total.where((F.col("members") > 2 * BLOCK_CLASSES) | (F.col("shingles") > 2 * BLOCK_SHINGLES)).select("family"), "large")
-    wanted = docs.select("text", "text_hash").join(broadcast_if(family.select("text_hash").distinct(), BROADCAST_ROWS), "text_hash", "left_semi")
-    sets = materialize(wanted.select("text").mapInArrow(_sets, "cls long, hashes binary"), "sets").dropDuplicates(["cls"])
+    reps = broadcast_if(family.select("rep.text_hash", F.col("rep.id").alias("rep_id")), BROADCAST_ROWS)
+    # One row of each class; rows that repeat its id and text too do no harm.
+    wanted = docs.join(reps, (docs["text_hash"] == reps["text_hash"]) & docs["id"].eqNullSafe(reps["rep_id"]), "left_semi")
+    sets = materialize(wanted.select("text").mapInArrow(_sets, "cls long, hashes binary"), "sets")
     split = broadcast_if(large, BROADCAST_ROWS)
     small = family.join(split, "family", "left_anti").select(F.col("family").alias("task"), "cls", F.lit(0).alias("side"))
     out = materialize(_search(small, sets, percent), "links")
@@ -253,7 +258,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     kind = own.schema["id"].dataType.simpleString()
     rows = materialize(own.mapInArrow(_fingerprints, f"id {kind}, text_hash long, n long, cls long, low array<long>"), "fingerprints")
     grouped = rows.where("cls is not null").groupBy("cls")
-    classes = materialize(grouped.agg(F.min("id").alias("low_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("low").alias("low")), "classes")
+    classes = materialize(grouped.agg(F.min("id").alias("low_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("rep"), F.first("low").alias("low")), "classes")
     total = rows.count()
     links = materialize(connected_components(_links(own, classes, percent)), "linked").select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", "low_id", "size").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
