@@ -76,13 +76,19 @@ class TrainingIndex:
     def phrases(self) -> DataFrame:
         """uid, win, start, size of every exact occurrence of a window."""
         starts = self._from_rarest().select("uid", "win", "size", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-        starts = materialize(starts, "starts")
-        needed = starts.join(broadcast_if(self.placed.select("win", "offset", "term"), BROADCAST_ROWS), "win").select(
-            "uid", "win", "start", "size", (F.col("start") + F.col("offset")).alias("pos"), "term"
-        )
-        lists = self.postings.where("term is not null").join(broadcast_if(starts.select("uid").distinct(), BROADCAST_ROWS), "uid", "left_semi")
+        # The second rarest terms' lists, which are short too, leave few starts for the long lists.
+        rank = F.row_number().over(Window.partitionBy("win").orderBy("df", "offset"))
+        placed = broadcast_if(materialize(self.placed.withColumn("rank", rank).select("win", "offset", "term", "rank"), "ranked"), BROADCAST_ROWS)
+        starts = self._confirmed(materialize(starts, "starts"), placed.where("rank <= 2"), F.least(F.col("size"), F.lit(2)))
+        return self._confirmed(materialize(starts, "starts"), placed, F.col("size"))
+
+    def _confirmed(self, starts: DataFrame, placed: DataFrame, terms: Column) -> DataFrame:
+        """The starts at which as many of the ``placed`` terms as ``terms`` says lie at their offsets."""
+        needed = starts.join(placed, "win").select("uid", "win", "start", "size", (F.col("start") + F.col("offset")).alias("pos"), "term")
+        lists = self.postings.where("term is not null").join(broadcast_if(placed.select("term").distinct(), BROADCAST_ROWS), "term", "left_semi")
+        lists = lists.join(broadcast_if(starts.select("uid").distinct(), BROADCAST_ROWS), "uid", "left_semi")
         met = needed.join(lists.select("uid", "pos", "term"), ["uid", "pos", "term"])
-        return met.groupBy("uid", "win", "start", "size").count().where("count = size").drop("count")
+        return met.groupBy("uid", "win", "start", "size").count().where(F.col("count") == terms).drop("count")
 
     def proximity(self, slop: int = 5) -> DataFrame:
         """uid, win, pos: postings of a window's rarest term with all its other terms at most size - 1 + slop words away."""
