@@ -9,8 +9,11 @@ shuffled, and a lost task is simply run again.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,14 @@ SEQUENCE = 4096
 END_ID = 2
 #: Bytes of text tokenised at once, distinct chunks remembered by a task, and the longest chunk remembered.
 CHUNK_BYTES = 4 << 20
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 800_000
 MEMORY_BYTES = 48
 SEPARATOR = "\x01"
+#: What can follow a word as a run of its own; an apostrophe can begin a contraction.
+TAIL = string.punctuation.replace("'", "")
+#: The byte-level alphabet: visible Latin-1 characters stand for their own byte, the other bytes for characters from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class ChunkTokenizer:
@@ -46,28 +54,58 @@ class ChunkTokenizer:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
+        self.long = False
         self.code: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a run of lower-case letters, straight from the merges."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = self.parts[word] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return ids
+
+    def _tail(self, tail: str) -> list[int]:
+        if tail not in self.parts:
+            self.parts[tail] = self._encode(tail)
+        return self.parts[tail]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if len(c) <= MEMORY_BYTES and b"\x01" not in c]
-        odd = [c for c in chunks if len(c) > MEMORY_BYTES or b"\x01" in c]
+        plain, odd, ids, sizes, known, n = [], [], [], [], self.parts.get, len(self.code)
+        for c in chunks:
+            text = c.decode()
+            word = text.rstrip(TAIL)
+            own = known(word)
+            if own is None and word.isalpha() and len(c) <= MEMORY_BYTES and (c.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))):
+                own = self._word(word)
+            if own is None or not word or "<|" in text:
+                (plain if len(c) <= MEMORY_BYTES and b"\x01" not in c else odd).append(c)
+                continue
+            if len(word) < len(text):
+                own = own + self._tail(text[len(word) :])
+            self.code[c] = n
+            n += 1
+            ids += own
+            sizes.append(len(own))
+        self.flat.append(np.array(ids, np.uint32))
+        self.sizes.append(np.array(sizes, np.int64))
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
-            ids = np.array(self._encode(f" {SEPARATOR} ".join([*(c.decode() for c in some), ""])), np.uint32)
-            ends = np.flatnonzero(ids == self.separator)
+            found = np.array(self._encode(f" {SEPARATOR} ".join([*(c.decode() for c in some), ""])), np.uint32)
+            ends = np.flatnonzero(found == self.separator)
             if len(ends) != len(some):  # a chunk gives the separator's id itself
                 odd += some
                 continue
             self.code.update(zip(some, range(len(self.code), len(self.code) + len(some))))
-            self.flat.append(ids[ids != self.separator])
+            self.flat.append(found[found != self.separator])
             self.sizes.append(np.diff(ends, prepend=-1) - 1)
+        self.long = any(len(c) > MEMORY_BYTES for c in odd)
         for c in odd:
-            ids = np.array(self._encode(c.decode()), np.uint32)
+            found = np.array(self._encode(c.decode()), np.uint32)
             self.code[c] = len(self.code)
-            self.flat.append(ids)
-            self.sizes.append(np.array([len(ids)]))
+            self.flat.append(found)
+            self.sizes.append(np.array([len(found)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
@@ -80,10 +118,12 @@ class ChunkTokenizer:
             own = (raw if b"<|" in raw else raw.lower()).split()  # the tokenizer lower-cases; special tokens are told by case
             chunks += own
             counts.append(len(own))
-        new = [c for c in dict.fromkeys(chunks) if c not in self.code]
+        codes = np.fromiter(map(self.code.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(codes < 0).tolist()
+        new = list(dict.fromkeys(chunks[i] for i in missing))
         if new:
             self._learn(new)
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+            codes[missing] = [self.code[chunks[i]] for i in missing]
         self.flat, self.sizes = [np.concatenate([*self.flat, np.empty(0, np.uint32)])], [np.concatenate([*self.sizes, np.empty(0, np.int64)])]
         sizes = self.sizes[0][codes]
         starts = (np.cumsum(self.sizes[0]) - self.sizes[0])[codes]
@@ -91,7 +131,7 @@ class ChunkTokenizer:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[0][np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
         at = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.empty(0, np.int64)
-        if any(len(c) > MEMORY_BYTES for c in new):
+        if self.long:
             self.forget()
         return ids, np.diff(at, prepend=0)
 
