@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, connected_components, materialize
+from .common import broadcast_if, connected_components, materialize, row_slices
 from .shingles import WordHasher, mix, shingle_set
 
 #: Smallest hashes kept of a class, and how many of those in short lists it posts.
@@ -49,7 +49,7 @@ HOT_SHARE = 1000
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text_hash -> n, cls (a hash of the whole set; null without words), low (its smallest hashes)."""
     hasher = WordHasher()
-    for batch in batches:
+    for batch in row_slices(batches):
         n, cls, low = [], [], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(hasher.words(text))
@@ -69,7 +69,7 @@ def set_id(s: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
-    for batch in batches:
+    for batch in row_slices(batches):
         sets = [shingle_set(hasher.words(t)) for t in batch.column(0).to_pylist()]
         for i in range(0, len(sets), 1000):
             some = [s for s in sets[i : i + 1000] if len(s)]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices
+
 DIMENSIONS = 1024
 #: Letters beyond a-z share the other symbols by code point; 0 is the gap between words.
 SYMBOLS = 64
@@ -104,7 +106,7 @@ def symbols(text: str) -> np.ndarray:
 
 def _partial_profiles(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
     vectors, sums = TripleVectors(dimensions), {}
-    for batch in batches:
+    for batch in row_slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             v = vectors.bundle(text)
             if v is not None:
@@ -133,7 +135,7 @@ def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", trai
 def _predicted(batches: Iterator[pa.RecordBatch], profiles: dict[str, np.ndarray], dimensions: int) -> Iterator[pa.RecordBatch]:
     names, matrix = list(profiles), np.array([*profiles.values()], np.float32).reshape(len(profiles), dimensions)
     vectors = TripleVectors(dimensions)
-    for batch in batches:
+    for batch in row_slices(batches):
         langs, scores = [], []
         for text in batch.column("_text").to_pylist():
             v = vectors.bundle(text) if text and names else None
