@@ -50,6 +50,20 @@ def row_slices(batches: Iterator, rows: int = 500) -> Iterator:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """At a task's end: a Python worker waits for its next task without the memory of the last one."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
