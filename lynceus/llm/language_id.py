@@ -24,7 +24,7 @@ SYMBOLS = 64
 #: Training texts, chosen by a hash of the text; all labelled texts if there are fewer.
 TRAIN_TEXTS = 20_000
 #: Vectors of letter triples that a task keeps.
-KEPT_VECTORS = 60_000
+KEPT_VECTORS = 24_000
 PIECE = 1 << 20
 
 

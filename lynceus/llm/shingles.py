@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Distinct words that a task remembers.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
