@@ -53,6 +53,14 @@ def row_slices(batches: Iterator, rows: int = 500) -> Iterator:
     give_back_memory()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python in Arrow batches of at most 4 MB, unless the session sets a bound itself: long texts
+    would otherwise fill batches of 64 MB in the JVM's direct memory and in Python at once."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, str(4 << 20))
+
+
 def give_back_memory() -> None:
     """At a task's end: a Python worker waits for its next task without the memory of the last one."""
     import ctypes

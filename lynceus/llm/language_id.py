@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import row_slices, small_batches
 
 DIMENSIONS = 1024
 #: Letters beyond a-z share the other symbols by code point; 0 is the gap between words.
@@ -120,6 +120,7 @@ def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", trai
 
     A profile is a few kilobytes; partial sums are combined by Spark for each dimension.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     n = labelled.count()
     if n > train_texts:
@@ -156,6 +157,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text: str
     language was learned. Ties go to the language first in order. Repeated rows and
     empty tables need no care. A column of docs named lang_pred or score is replaced.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(*(keep or [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]), F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "_text")
     return own.mapInArrow(lambda b: _predicted(b, profiles, dimensions), f"{schema}, lang_pred string, score double")

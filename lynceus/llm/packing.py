@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import row_slices, small_batches
 
 SEQUENCE = 4096
 END_ID = 2
@@ -200,6 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     pieces = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
