@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import noise_floor, projection, radius, scans, spatial, stability
+from .operators import matching, motion, noise_floor, projection, radius, scans, sensitivity, spatial, stability
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -287,3 +287,80 @@ def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = _stream(spark, sf_dir, "view")
     out = stability.sync_summary(stability.nearest_in_time(view, _stream(spark, sf_dir, "click"), 600.0), view)
     return out.select("frames", "matched", *_r("offset_s", "mean_abs_s", "std_s", digits=4), *_r("drop_ratio"))
+
+
+@_query(f"""WITH {_NEAREST}, n AS (SELECT count(*) AS n FROM s WHERE event_type = 'view'), o AS (SELECT count(*) AS matched, 1 - count(*) / any_value(n) AS d, coalesce(stddev_pop(abs(diff_s)), 0) / 600 AS w FROM pairs, n)
+SELECT matched, CASE WHEN matched = 0 THEN 'FAIL' WHEN d <= 0.05 AND w <= 0.2 THEN 'GOOD' WHEN d <= 0.2 AND w <= 0.5 THEN 'WARNING' ELSE 'BAD' END AS classification FROM o""")
+def sync_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _stream(spark, sf_dir, "view")
+    pairs = stability.nearest_in_time(view, _stream(spark, sf_dir, "click"), 600.0)
+    return stability.sync_class(stability.sync_summary(pairs, view), 600.0).select("matched", "classification")
+
+
+@_query(f"""WITH {_PTS}{_CELLS}, m AS (SELECT ring, az, CASE WHEN count(*) < 3 THEN 'unknown' WHEN stddev_pop(range_m) > 0.3 THEN 'dynamic' ELSE 'static' END AS label FROM img GROUP BY 1, 2)
+SELECT frame_id, label, count(*) AS n FROM cells JOIN m USING (ring, az) GROUP BY 1, 2""")
+def dynamic_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = scans.with_cells(points(spark, sf_dir))
+    labelled = scans.dynamic_points(cells, scans.motion_cells(scans.range_image(cells)))
+    return labelled.groupBy("frame_id", "label").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_PTS}, t AS (SELECT *, -(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 0.1 AS dt FROM pts),
+q AS (SELECT *, x - 5 * dt AS qx, y - dt AS qy, cos(0.3 * dt) AS c, sin(0.3 * dt) AS s FROM t),
+d AS (SELECT frame_id, sqrt((qx * c + qy * s - x) ** 2 + (qy * c - qx * s - y) ** 2) AS m FROM q)
+SELECT frame_id, count(*) AS n, round(avg(m), 5) AS mean_m, round(max(m), 5) AS max_m, round(quantile_cont(m, 0.95), 5) AS p95_m FROM d GROUP BY 1""")
+def deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = motion.deskew(points(spark, sf_dir).withColumn("t_offset", motion.time_offset()), (5.0, 1.0, 0.0), (0.0, 0.0, 0.3))
+    return motion.deskew_summary(moved).select("frame_id", "n", *_r("mean_m", "max_m", "p95_m"))
+
+
+_GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(str(c) for c in sensitivity.candidates(PLAIN)) + ") g(axis, direction, delta, " + ", ".join(f"m{i}" for i in range(12)) + "))"
+_SAMPLES = f"""WITH {_PTS}, {_GRID}, c AS (SELECT axis, direction, delta, u AS u0, v AS v0, m0 * x + m1 * y + m2 * z + m3 AS a, m4 * x + m5 * y + m6 * z + m7 AS b, m8 * x + m9 * y + m10 * z + m11 AS d FROM proj, grid),
+w AS (SELECT *, 150 * (a / d) + 160 AS u1, 150 * (b / d) + 120 AS v1 FROM c WHERE d > 0.05),
+samples AS (SELECT axis, direction, delta::DOUBLE AS delta, count(*) AS n, avg(sqrt((u1 - u0) ** 2 + (v1 - v0) ** 2)) AS mean_px FROM w
+  WHERE u1 >= 0 AND u1 < 320 AND v1 >= 0 AND v1 < 240 GROUP BY 1, 2, 3)"""
+
+
+@_query(f"{_SAMPLES} SELECT axis, direction::INT AS direction, delta, n, round(mean_px, 4) AS mean_px FROM samples")
+def perturbation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensitivity.shift_samples(spark, points(spark, sf_dir), PLAIN).select("axis", "direction", "delta", "n", *_r("mean_px", digits=4))
+
+
+@_query(f"""{_SAMPLES}, e AS (SELECT axis, min(delta) AS lo, max(delta) AS hi FROM samples GROUP BY 1),
+s AS (SELECT axis, avg(mean_px) FILTER (delta = lo) AS small_px, avg(mean_px) FILTER (delta = hi) AS large_px FROM samples JOIN e USING (axis) GROUP BY 1)
+SELECT axis, round(small_px, 4) AS small_px, round(large_px, 4) AS large_px, CASE WHEN small_px > 0.5 THEN 'HIGH' WHEN large_px > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS classification FROM s""")
+def axis_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = sensitivity.shift_samples(spark, points(spark, sf_dir), PLAIN)
+    return sensitivity.axis_sensitivity(samples, 0.0, 0.5).select("axis", *_r("small_px", "large_px", digits=4), "classification")
+
+
+@_query(f"""WITH {_PTS}{_EDGES}, pix AS (SELECT o_custkey % 4 AS frame_id, o_orderkey * 7919 % 320 AS pu, o_orderkey * 104729 % 240 AS pv, max(o_totalprice) AS strength, min(o_custkey * 37 % 180) AS deg FROM orders GROUP BY 1, 2, 3),
+met AS (SELECT e.frame_id, e.point_id, pu, pv, strength, sqrt((u - pu) ** 2 + (v - pv) ** 2) AS d, abs(floor(u * 10)::BIGINT % 180 - deg) AS a
+  FROM edge e JOIN pix p ON p.frame_id = e.frame_id AND pu BETWEEN u - 15 AND u + 15 AND pv BETWEEN v - 15 AND v + 15),
+ok AS (SELECT *, CASE WHEN d <= 5 THEN 5 WHEN d <= 10 THEN 10 ELSE 15 END AS tier FROM met WHERE d <= 15 AND least(a, 180 - a) <= 30),
+low AS (SELECT *, min(tier) OVER (PARTITION BY frame_id, point_id) AS lo FROM ok),
+best AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY frame_id, point_id) AS n FROM low WHERE tier = lo WINDOW w AS (PARTITION BY frame_id, point_id ORDER BY strength DESC, d, pv, pu))
+SELECT e.frame_id, e.point_id, b.k IS NOT NULL AS matched, b.pu::DOUBLE AS pixel_u, b.pv::DOUBLE AS pixel_v, round(coalesce(b.d, 15), 5) AS distance_px, coalesce(b.n, 0) AS num_candidates
+FROM edge e LEFT JOIN best b ON b.frame_id = e.frame_id AND b.point_id = e.point_id AND b.k = 1""")
+def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = radius.edge_points(projection.project(points(spark, sf_dir), PLAIN), KEYS)
+    orders = _table(spark, sf_dir, "orders")
+    pixels = orders.groupBy((F.col("o_custkey") % 4).alias("frame_id"), (F.col("o_orderkey") * 7919 % 320).alias("pixel_u"), (F.col("o_orderkey") * 104729 % 240).alias("pixel_v"))
+    pixels = pixels.agg(F.max("o_totalprice").alias("strength"), F.min(F.col("o_custkey") * 37 % 180).alias("pixel_deg"))
+    found = matching.correspondences(edges.withColumn("orientation_deg", (F.floor(F.col("u") * 10) % 180).cast("double")), pixels, KEYS)
+    return found.select(*KEYS, "matched", F.col("pixel_u").cast("double").alias("pixel_u"), F.col("pixel_v").cast("double").alias("pixel_v"), *_r("distance_px"), "num_candidates")
+
+
+_REPORTS = """r AS (SELECT o_orderpriority AS name, o_orderstatus AS st, avg(o_totalprice) / 1e4 AS a FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN a < 14.9 THEN 0 WHEN a < 15.1 THEN 1 ELSE 2 END AS c FROM r)"""
+_CLASSES = "['GOOD', 'WARNING', 'BAD']"
+
+
+@_query(f"""WITH {_REPORTS} SELECT name, round(o.a, 4) AS old_score, round(n.a, 4) AS new_score, round(n.a - o.a, 4) AS delta_score, {_CLASSES}[o.c + 1] AS old_class, {_CLASSES}[n.c + 1] AS new_class,
+  (coalesce(n.c, 3) > coalesce(o.c, 3)) OR (coalesce(n.c, 3) = coalesce(o.c, 3) AND coalesce(n.a < o.a, false)) AS regressed
+FROM (SELECT * FROM k WHERE st = 'F') o FULL JOIN (SELECT * FROM k WHERE st = 'O') n USING (name)""")
+def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), "o_orderstatus").agg((F.avg("o_totalprice") / 1e4).alias("score"))
+    rows = rows.withColumn("classification", F.when(F.col("score") < 14.9, "GOOD").when(F.col("score") < 15.1, "WARNING").otherwise("BAD"))
+    diff = stability.report_diff(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"))
+    return diff.select("name", *_r("old_score", "new_score", "delta_score", digits=4), "old_class", "new_class", "regressed")

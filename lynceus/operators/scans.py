@@ -52,3 +52,8 @@ def occlusion(projected: DataFrame, bucket: int = 8, margin: float = 0.5) -> Dat
     return spot.join(low, ["frame_id", "bx", "by"]).groupBy("frame_id").agg(
         F.count("*").alias("n"), (F.count_if(F.col("depth") > F.col("low") + margin) / F.count("*")).alias("ratio")
     )
+
+
+def dynamic_points(cells: DataFrame, motion: DataFrame) -> DataFrame:
+    """Points with the label of their cell; ``unknown`` where it has none. AQE broadcasts the cells if they are few."""
+    return cells.join(motion.select("ring", "az", "label"), ["ring", "az"], "left").withColumn("label", F.coalesce("label", F.lit("unknown")))

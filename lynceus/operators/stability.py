@@ -73,3 +73,23 @@ def sync_summary(pairs: DataFrame, total: DataFrame) -> DataFrame:
     """One row: frames, matched, drop ratio, mean offset, mean and deviation of the absolute differences."""
     one = pairs.agg(F.count("*").alias("matched"), F.avg("diff_s").alias("offset_s"), F.avg(F.abs("diff_s")).alias("mean_abs_s"), F.stddev_pop(F.abs("diff_s")).alias("std_s"))
     return total.agg(F.count("*").alias("frames")).crossJoin(one).withColumn("drop_ratio", 1 - F.col("matched") / F.col("frames"))
+
+
+def sync_class(summary: DataFrame, window_s: float) -> DataFrame:
+    """Adds classification: the worse of the share dropped (5, 20 %) and the deviation against the window (20, 50 %)."""
+    level = lambda c, good, warning: F.when(c <= good, 0).when(c <= warning, 1).otherwise(2)
+    spread = F.coalesce(F.col("std_s"), F.lit(0.0)) / window_s if window_s > 0 else F.lit(0.0)
+    worst = F.greatest(level(F.col("drop_ratio"), 0.05, 0.2), level(spread, 0.2, 0.5))
+    named = F.when(worst == 0, "GOOD").when(worst == 1, "WARNING").otherwise("BAD")
+    return summary.withColumn("classification", F.when(F.col("matched") == 0, "FAIL").otherwise(named))
+
+
+def report_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """name, scores, classes and regressed of two reports' categories (name, score, classification); a missing or unknown class counts as FAIL."""
+    rank = lambda c: F.when(c == "GOOD", 0).when(c == "WARNING", 1).when(c == "BAD", 2).otherwise(3)
+    both = old.select("name", F.col("score").alias("old_score"), F.col("classification").alias("old_class")).join(
+        new.select("name", F.col("score").alias("new_score"), F.col("classification").alias("new_class")), "name", "full_outer"
+    )
+    a, b = rank(F.col("old_class")), rank(F.col("new_class"))
+    lower = F.coalesce(F.col("new_score") < F.col("old_score"), F.lit(False))
+    return both.withColumns({"delta_score": F.col("new_score") - F.col("old_score"), "regressed": (b > a) | ((a == b) & lower)})
