@@ -44,10 +44,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _symbol_table() -> np.ndarray:
-    points = np.arange(0x3000)
+    """The symbol of each code point: a-z, and fullwidth a-z like them, have their own; other letters share."""
+    points = np.arange(0x33000)  # no letter lies above
     table = 27 + points % 5
+    table[0x3000:] = 1 + points[0x3000:] % 31  # scripts of many letters need all symbols
     table[[not chr(p).isalpha() for p in points]] = 0
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    for first in (ord("a"), 0xFF41):
+        table[first : first + 26] = np.arange(1, 27)
     return table.astype(np.int32)
 
 
