@@ -21,7 +21,7 @@ from .common import row_slices, small_batches
 DIMENSIONS = 1024
 #: Letters beyond a-z share the other symbols by code point; 0 is the gap between words.
 SYMBOLS = 64
-#: Training texts, chosen by a hash of the text; all labelled texts if there are fewer.
+#: About so many texts of each language train its profile, drawn row by row; all of a language that has fewer.
 TRAIN_TEXTS = 20_000
 #: Vectors of letter triples that a task keeps.
 KEPT_VECTORS = 24_000
@@ -116,16 +116,19 @@ def _partial_profiles(batches: Iterator[pa.RecordBatch], dimensions: int) -> Ite
 
 
 def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", train_texts: int = TRAIN_TEXTS, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """The profile of each language, at unit length. Rows with null text or language teach nothing.
+    """The profile of each language, at unit length. Rows with null text or language teach nothing; of each
+    language about ``train_texts`` rows do, or all if it has fewer.
 
     A profile is a few kilobytes; partial sums are combined by Spark for each dimension.
     """
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    n = labelled.count()
-    if n > train_texts:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * train_texts / n))
-    partial = labelled.mapInArrow(lambda b: _partial_profiles(b, dimensions), "lang string, v array<double>")
+    # A row is drawn by its text and place, so copies of a text are drawn each for itself.
+    large = labelled.groupBy("lang").count().where(F.col("count") > train_texts)
+    draw = F.pmod(F.xxhash64("text", "row"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(large), "lang", "left")  # at most a row for every train_texts
+    drawn = rows.where(F.col("count").isNull() | (draw * F.col("count") < train_texts)).select("lang", "text")
+    partial = drawn.mapInArrow(lambda b: _partial_profiles(b, dimensions), "lang string, v array<double>")
     summed = partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     profiles: dict[str, np.ndarray] = {}
     for r in summed:
