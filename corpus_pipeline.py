@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that are ``und`` (no letter, no text) go."""
-    profiles = language_id.train_profiles(docs)
+    profiles = language_id.train_profiles(docs.where("lang is null or lang <> 'und'"))
+    if not profiles:  # nothing to tell languages by: texts with letters stay all the same
+        profiles = {"unknown": np.zeros(language_id.DIMENSIONS, np.float32)}
     return language_id.predict_language(docs, profiles).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
