@@ -23,6 +23,9 @@ IS_CANONICAL = r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 IS_REFRESH = r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+ABSOLUTE = r"(?i)^[a-z][a-z0-9+.-]*://"
+SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 #: With more rules than this, urls are joined with the rules instead of testing each rule in place.
 RULES_IN_PLACE = 256
 #: Rows that a set of alias verdicts may have to be broadcast.
@@ -48,6 +51,34 @@ def node(url: Column) -> Column:
     return F.concat(_lower(head), F.substring(plain, F.length(head) + 1, F.length(plain)))
 
 
+def _without_dots(url: Column) -> Column:
+    """An absolute url with the segments . and .. of its path resolved."""
+    head, own = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path(url)
+    rest = F.substring(url, F.length(head) + F.length(own) + 1, F.length(url))
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))
+    segments = F.aggregate(F.split(F.substring(own, 2, F.length(own)), "/"), F.array().cast("array<string>"), step)
+    end = F.when(own.rlike(r"/\.\.?$") & (F.size(segments) > 0), "/").otherwise("")
+    return F.when(own.rlike(r"/\.\.?(?:/|$)"), F.concat(head, F.lit("/"), F.array_join(segments, "/"), end, rest)).otherwise(url)
+
+
+def resolved(page: Column, link: Column) -> Column:
+    """The absolute url that ``link``, as written in an attribute, has on ``page``; null where it names no place (mailto: and the like)."""
+    to = F.regexp_replace(link, AMPERSAND, "&")
+    head = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    whole = F.regexp_replace(page, r"(?s)#.*$", "")
+    bare = F.concat(head, F.when(path(page) == "", "/").otherwise(path(page)))
+    found = (
+        F.when(to.rlike(ABSOLUTE), to)
+        .when(to.rlike(SCHEME), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(page, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(head, to))
+        .when(to.startswith("?"), F.concat(bare, to))
+        .when(to.startswith("#"), F.concat(whole, to))
+        .otherwise(F.concat(F.regexp_extract(bare, r"(?s)^(.*/)", 1), to))
+    )
+    return _without_dots(found)
+
+
 def _ordered(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """Longest first; of equal length the longer host, then the text."""
     return sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0]))
@@ -86,18 +117,12 @@ def _with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) from pages to their canonical and refresh targets; relative targets are resolved on scheme and host."""
+    """Edges (a, b) from pages to their canonical and refresh targets; relative targets are resolved on the page's url."""
     tags = F.regexp_extract_all(F.col(html), F.lit(TAG), F.lit(0))
     canonical = F.transform(F.filter(tags, lambda t: t.rlike(IS_CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
     links = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("from"), F.explode(F.concat(canonical, refresh)).alias("to"))
-    head = F.regexp_extract("from", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("from", r"(?s)^(.*?:)//", 1)
-    to = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, "to"))
-        .when(F.col("to").startswith("/"), F.concat(head, "to"))
-    )
+    to = resolved(F.col("from"), F.col("to"))
     return links.where(F.col("from").contains("://") & (F.col("to") != "")).select(
         node(F.col("from")).alias("a"), node(to).alias("b")
     ).where("a is not null and b is not null and a <> b").distinct()
