@@ -5,16 +5,19 @@ a text lie side by side and a hot text can still be cut. The cuts are found by
 counting: each round sums the exact bytes of the key prefixes inside the intervals
 that still hold a cut, and refines them, until an interval is within the tolerance
 or holds one key. Only prefix sums reach the driver, at most
-(shards - 1) * 2**PROBE_BITS a round. Then every row is dealt once, to the bin that
-numbers its slots.
+(shards - 1) * 2**PROBE_BITS a round. Then every whole row is exchanged once, to the
+bin of its shard that numbers its slots, and is written there by shard.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import shared_dir
 
 PROBE_BITS = 12
 #: A cut may be moved by this share of a shard so that it does not part copies of a text.
@@ -24,13 +27,19 @@ BIN_ROWS = 200_000
 BIN_LIMIT = 1 << 14
 
 
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def _size(text: str) -> Column:
+    return (F.octet_length(_body(text)) + 1).cast("long")
+
+
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    """Whole rows, as a struct, with their size and key."""
     uid = F.monotonically_increasing_id()
-    return docs.select(
-        F.col(key).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
-        F.xxhash64(body).alias("h"), F.xxhash64(F.col(key), uid, F.lit("row")).alias("r"),
-    )
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return docs.select(row, _size(text).alias("size"), F.xxhash64(_body(text)).alias("h"), F.xxhash64(F.col(key), uid, F.lit("row")).alias("r"))
 
 
 def _prefix(bits: int) -> Column:
@@ -80,30 +89,61 @@ def find_cuts(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
     return cuts
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, size, crc, h, r, shard, slot for each row of ``docs``.
+def _stored(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``df`` as written in the shared folder, by ``by``; whole rows are stored with zstd, which takes less disk than snappy."""
+    folder = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
+    schema = df.select(*(c for c in df.columns if c not in by), *by).schema
+    return df.sparkSession.read.schema(schema).parquet(folder)
 
-    Size: UTF-8 bytes plus 1; null text counts as empty. Slots are gapless from 0 in
-    each shard. Repeated rows are rows of their own. An empty table gives an empty
-    result. Other columns are ignored; join back on the id to carry them.
-    """
-    keyed = materialize(_keyed(docs, text, key), "keyed")
-    cuts = find_cuts(keyed, shards)
+
+def _dealt(docs: DataFrame, shards: int, text: str, key: str) -> DataFrame:
+    """row (the whole row), h, r, shard, slot; the rows cross one exchange, to the bins of their shards."""
+    keyed = _stored(_keyed(docs, text, key), "keyed")
+    keys = keyed.select("size", "h", "r")
+    cuts = find_cuts(keys, shards)
     full = _prefix(128)
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + F.when(full >= cut, 1).otherwise(0)
-    n = keyed.count()
+    n = keys.count()
     bins = min(BIN_LIMIT, max(1, -(-n // BIN_ROWS)) * 64)
     # Bins follow the second part of the key, so that copies of one text spread over them.
-    placed = keyed.withColumn("shard", shard.cast("int")).withColumn("bin", F.pmod(F.col("r"), F.lit(bins)).cast("int"))
-    counts = placed.groupBy("shard", "bin").agg(F.count("*").alias("n"))
+    place = {"shard": shard.cast("int"), "bin": F.pmod(F.col("r"), F.lit(bins)).cast("int")}
+    counts = keys.withColumns(place).groupBy("shard", "bin").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("h", "r", "id"))
+    within = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("h", "r"))
     # starts has at most shards * BIN_LIMIT rows of three numbers.
-    return placed.withColumn("within", within).join(F.broadcast(starts), ["shard", "bin"]).select(
-        "id", "size", "crc", "h", "r", "shard", (F.col("start") + F.col("within") - 1).cast("long").alias("slot")
+    return keyed.withColumns(place).withColumn("within", within).join(F.broadcast(starts), ["shard", "bin"]).select(
+        "row", "h", "r", "shard", (F.col("start") + F.col("within") - 1).cast("long").alias("slot")
+    )
+
+
+def _written(docs: DataFrame, shards: int, text: str, key: str) -> DataFrame:
+    """As _dealt, written in one folder for each shard and read back."""
+    return _stored(_dealt(docs, shards, text, key), "shards", "shard")
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The whole rows of ``docs`` with shard and slot, written in one folder for each shard.
+
+    Shards have near-equal UTF-8 bytes of text. Slots are gapless from 0 in each
+    shard. Repeated rows, and rows with a null key, are rows of their own. An empty
+    table gives an empty result. A column of docs named shard or slot is replaced.
+    """
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return _written(docs, shards, text, key).select(*kept, "shard", "slot")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """id, size, crc, h, r, shard, slot for each row of ``docs``, read from the rows as written in their shards.
+
+    Size: UTF-8 bytes plus 1; null text counts as empty. Else as ``shard_rows``.
+    """
+    body = f"row.{text}"
+    return _written(docs, shards, text, key).select(
+        F.col(f"row.{key}").alias("id"), _size(body).alias("size"), F.crc32(_body(body).cast("binary")).alias("crc"), "h", "r", "shard", "slot"
     )
