@@ -6,13 +6,14 @@ suppliers frames, days of orders frames of a sequence, events two streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matching, motion, noise_floor, projection, radius, scans, sensitivity, spatial, stability
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
+from .registry import rounded as _r
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 SHIFT = (1, 0, 0, 0.2, 0, 1, 0, -0.1, 0, 0, 1, 0.1)
 PLAIN = projection.Rig(320, 240, 150.0, 150.0, 160.0, 120.0, SHIFT)
 BENT = projection.Rig(320, 240, 150.0, 150.0, 160.0, 120.0, SHIFT, "plumb_bob", {"k1": -0.1, "k2": 0.01, "p1": 0.001, "p2": -0.002})
@@ -26,20 +27,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id, point_id (text), x, y, z, error, matched."""
+    """frame_id, point_id, x, y, z, error, matched. An order's lines differ in price, so order and cents name a point."""
     l = _table(spark, sf_dir, "lineitem")
-    u0 = F.round(F.col("l_extendedprice") * 100).cast("long") % 32000 / 100.0
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    u0 = cents % 32000 / 100.0
     v0 = (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 31) % 24000 / 100.0
     return l.select(
-        F.expr("l_suppkey div 25").alias("frame_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("point_id"),
+        F.expr("l_suppkey div 25").alias("frame_id"), (F.col("l_orderkey") * 100_000_000 + cents).alias("point_id"),
         ((u0 - 160) * F.col("l_quantity") / 150).alias("x"), ((v0 - 120) * F.col("l_quantity") / 150).alias("y"), F.col("l_quantity").alias("z"),
         (F.col("l_tax") * 100).alias("error"), (F.col("l_returnflag") != "R").alias("matched"),
     )
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the image, by what the radius join needs of them."""
+    return projection.project(points(spark, sf_dir), PLAIN).select(*KEYS, "u", "v", "depth")
+
+
 _PTS = """
 pts AS (
-  SELECT l_suppkey // 25 AS frame_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS point_id,
+  SELECT l_suppkey // 25 AS frame_id, l_orderkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS point_id,
     (CAST(round(l_extendedprice * 100) AS BIGINT) % 32000 / 100.0 - 160) * l_quantity / 150 AS x,
     ((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 31) % 24000 / 100.0 - 120) * l_quantity / 150 AS y,
     l_quantity AS z, l_tax * 100 AS error, l_returnflag <> 'R' AS matched
@@ -58,20 +65,6 @@ near AS (
 edge AS (SELECT proj.* FROM proj JOIN near USING (frame_id, point_id) WHERE n >= 3 AND high - low > 0.3 AND depth <= low + 1e-9)"""
 
 
-def _query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _r(*names: str, digits: int = 5) -> list[Column]:
-    return [F.round(n, digits).alias(n) for n in names]
-
-
 @_query(f"WITH {_PTS} SELECT frame_id, point_id, round(u, 5) AS u, round(v, 5) AS v, round(depth, 5) AS depth FROM proj")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.project(points(spark, sf_dir), PLAIN).select(*KEYS, *_r("u", "v", "depth"))
@@ -101,7 +94,7 @@ def occlusion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_PTS}{_EDGES} SELECT frame_id, point_id, round(u, 5) AS u, round(v, 5) AS v, round(depth, 5) AS depth FROM edge")
 def edge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radius.edge_points(projection.project(points(spark, sf_dir), PLAIN), KEYS).select(*KEYS, *_r("u", "v", "depth"))
+    return radius.edge_points(_placed(spark, sf_dir)).select(*KEYS, *_r("u", "v", "depth"))
 
 
 _FLOOR = "sqrt((150 * radians(0.2)) ** 2 + 0.25 + (150 * 0.2449489742783178 * 0.02 / ({0} * {0})) ** 2)"
@@ -113,8 +106,8 @@ SELECT frame_id, coalesce(np.n, 0) AS num_projected, coalesce(ne.n, 0) AS num_ed
   round({_FLOOR.format('d')}, 5) AS floor_px FROM frames LEFT JOIN np USING (frame_id) LEFT JOIN ne USING (frame_id)""")
 def m2_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    placed = projection.project(pts, PLAIN)
-    edges = radius.edge_points(placed, KEYS).groupBy("frame_id").agg(F.count("*").alias("e"), F.expr("percentile(depth, 0.5)").alias("d"))
+    placed = _placed(spark, sf_dir)
+    edges = radius.edge_points(placed).groupBy("frame_id").agg(F.count("*").alias("e"), F.expr("percentile(depth, 0.5)").alias("d"))
     frames = pts.select("frame_id").distinct().join(placed.groupBy("frame_id").agg(F.count("*").alias("n")), "frame_id", "left").join(edges, "frame_id", "left")
     zero = F.lit(0).cast("long")
     return frames.select(
@@ -131,7 +124,7 @@ def floor_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     floor = FLOOR.at(F.col("depth"))
     return projection.project(points(spark, sf_dir), PLAIN).select(
         *KEYS, F.round(floor, 5).alias("floor_px"), FLOOR.dominant(F.col("depth")).alias("dominant"),
-        noise_floor.classify(F.col("error"), floor).alias("classification"), F.round(noise_floor.score(F.col("error") / floor), 4).alias("score"),
+        noise_floor.classify(F.col("error"), floor).alias("classification"), F.round(noise_floor.score(F.col("error"), floor), 4).alias("score"),
     )
 
 
@@ -260,10 +253,14 @@ _outlier_query("multiplier", "mean_px > CASE WHEN median > 1e-6 THEN 5 * median
 _outlier_query("iqr", "CASE WHEN iqr > 1e-6 THEN mean_px < q1 - 1.5 * iqr OR mean_px > q3 + 1.5 * iqr ELSE abs(mean_px - median) > 0.5 END")
 
 
-@_query(f"""WITH {_FRAMES}, f AS (SELECT count(*) AS n, regr_slope(mean_px, frame_index) AS slope, corr(mean_px, frame_index) AS r, max(frame_index) - min(frame_index) AS span FROM frames)
-SELECT n, round(slope, 8) AS slope, round(r, 5) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t_stat, round(abs(slope) * span, 5) AS drift_px FROM f""")
+@_query(f"""WITH {_FRAMES}, f AS (SELECT count(*) AS n, regr_slope(mean_px, frame_index) AS slope, corr(mean_px, frame_index) AS r, max(frame_index) - min(frame_index) AS span, quantile_cont(floor_px, 0.5) AS fl FROM frames)
+SELECT n, round(slope, 8) AS slope, round(r, 5) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t_stat, round(abs(slope) * span, 5) AS drift_px, round(fl, 5) AS floor_px,
+  abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9625 AS significant,
+  CASE WHEN abs(r * sqrt((n - 2) / (1 - r * r))) <= 1.9625 THEN 'GOOD' WHEN abs(slope) * span < fl THEN 'GOOD' WHEN abs(slope) * span < 3 * fl THEN 'WARNING' ELSE 'BAD' END AS classification FROM f""")
 def temporal_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stability.drift(frames(spark, sf_dir)).select("n", *_r("slope", digits=8), *_r("r"), *_r("t_stat", digits=4), *_r("drift_px"))
+    """The SQL tells significance by the bound of t for about a thousand frames; tests check the p value."""
+    out = stability.drift(frames(spark, sf_dir))
+    return out.select("n", *_r("slope", digits=8), *_r("r"), *_r("t_stat", digits=4), *_r("drift_px", "floor_px"), "significant", "classification")
 
 
 def _stream(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -281,22 +278,6 @@ def sync_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.nearest_in_time(_stream(spark, sf_dir, "view"), _stream(spark, sf_dir, "click"), 600.0).select("left_id", "right_id", *_r("diff_s", digits=4))
 
 
-@_query(f"""WITH {_NEAREST} SELECT (SELECT count(*) FROM s WHERE event_type = 'view') AS frames, count(*) AS matched, round(avg(diff_s), 4) AS offset_s,
-  round(avg(abs(diff_s)), 4) AS mean_abs_s, round(stddev_pop(abs(diff_s)), 4) AS std_s, round(1 - count(*) / (SELECT count(*) FROM s WHERE event_type = 'view'), 5) AS drop_ratio FROM pairs""")
-def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = _stream(spark, sf_dir, "view")
-    out = stability.sync_summary(stability.nearest_in_time(view, _stream(spark, sf_dir, "click"), 600.0), view)
-    return out.select("frames", "matched", *_r("offset_s", "mean_abs_s", "std_s", digits=4), *_r("drop_ratio"))
-
-
-@_query(f"""WITH {_NEAREST}, n AS (SELECT count(*) AS n FROM s WHERE event_type = 'view'), o AS (SELECT count(*) AS matched, 1 - count(*) / any_value(n) AS d, coalesce(stddev_pop(abs(diff_s)), 0) / 600 AS w FROM pairs, n)
-SELECT matched, CASE WHEN matched = 0 THEN 'FAIL' WHEN d <= 0.05 AND w <= 0.2 THEN 'GOOD' WHEN d <= 0.2 AND w <= 0.5 THEN 'WARNING' ELSE 'BAD' END AS classification FROM o""")
-def sync_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = _stream(spark, sf_dir, "view")
-    pairs = stability.nearest_in_time(view, _stream(spark, sf_dir, "click"), 600.0)
-    return stability.sync_class(stability.sync_summary(pairs, view), 600.0).select("matched", "classification")
-
-
 @_query(f"""WITH {_PTS}{_CELLS}, m AS (SELECT ring, az, CASE WHEN count(*) < 3 THEN 'unknown' WHEN stddev_pop(range_m) > 0.3 THEN 'dynamic' ELSE 'static' END AS label FROM img GROUP BY 1, 2)
 SELECT frame_id, label, count(*) AS n FROM cells JOIN m USING (ring, az) GROUP BY 1, 2""")
 def dynamic_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,11 +324,11 @@ best AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY frame_i
 SELECT e.frame_id, e.point_id, b.k IS NOT NULL AS matched, b.pu::DOUBLE AS pixel_u, b.pv::DOUBLE AS pixel_v, round(coalesce(b.d, 15), 5) AS distance_px, coalesce(b.n, 0) AS num_candidates
 FROM edge e LEFT JOIN best b ON b.frame_id = e.frame_id AND b.point_id = e.point_id AND b.k = 1""")
 def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = radius.edge_points(projection.project(points(spark, sf_dir), PLAIN), KEYS)
+    edges = radius.edge_points(_placed(spark, sf_dir))
     orders = _table(spark, sf_dir, "orders")
     pixels = orders.groupBy((F.col("o_custkey") % 4).alias("frame_id"), (F.col("o_orderkey") * 7919 % 320).alias("pixel_u"), (F.col("o_orderkey") * 104729 % 240).alias("pixel_v"))
     pixels = pixels.agg(F.max("o_totalprice").alias("strength"), F.min(F.col("o_custkey") * 37 % 180).alias("pixel_deg"))
-    found = matching.correspondences(edges.withColumn("orientation_deg", (F.floor(F.col("u") * 10) % 180).cast("double")), pixels, KEYS)
+    found = matching.correspondences(edges.withColumn("orientation_deg", (F.floor(F.col("u") * 10) % 180).cast("double")), pixels)
     return found.select(*KEYS, "matched", F.col("pixel_u").cast("double").alias("pixel_u"), F.col("pixel_v").cast("double").alias("pixel_v"), *_r("distance_px"), "num_candidates")
 
 

@@ -1 +1 @@
-"""Part of the lynceus engine."""
+"""Column functions that need no DataFrame."""

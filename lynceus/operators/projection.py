@@ -25,11 +25,16 @@ class Rig:
     coefficients: dict[str, float] = field(default_factory=dict)
 
 
+def camera_axis(rig: Rig, i: int) -> Column:
+    """The point's coordinate ``i`` in the camera's frame; factors of 0 and 1 are left out."""
+    t = rig.transform
+    terms = [F.col(c) if t[4 * i + k] == 1 else F.col(c) * float(t[4 * i + k]) for k, c in enumerate("xyz") if t[4 * i + k] != 0]
+    return sum(terms, F.lit(float(t[4 * i + 3])))
+
+
 def transformed(points: DataFrame, rig: Rig) -> DataFrame:
     """Adds xc, yc, zc, the point in the camera's frame."""
-    t = rig.transform
-    row = lambda i: sum((F.col(c) * t[4 * i + k] for k, c in enumerate("xyz")), F.lit(float(t[4 * i + 3])))
-    return points.withColumns({"xc": row(0), "yc": row(1), "zc": row(2)})
+    return points.withColumns({"xc": camera_axis(rig, 0), "yc": camera_axis(rig, 1), "zc": camera_axis(rig, 2)})
 
 
 def _lens(rig: Rig, a: Column, b: Column) -> tuple[Column, Column]:
@@ -51,9 +56,18 @@ def _lens(rig: Rig, a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def project(points: DataFrame, rig: Rig) -> DataFrame:
-    """The points inside the image, with u, v and depth; depth is tested before any division."""
-    ahead = transformed(points, rig).where(F.col("zc") > MIN_DEPTH)
+    """The points inside the image, with u, v and depth."""
+    return clipped(transformed(points, rig), rig, points.columns)
+
+
+def clipped(moved: DataFrame, rig: Rig, kept: list[str]) -> DataFrame:
+    """``kept`` columns of points in the camera's frame (xc, yc, zc) with u, v and depth, inside the image; depth is tested before any division.
+
+    u and v pass through a one-element ``inline``: a clip on them would otherwise be pushed below the projection as
+    a copy of its whole formula for each bound, which outgrows what the JIT compiles.
+    """
+    ahead = moved.where(F.col("zc") > MIN_DEPTH)
     a, b = _lens(rig, F.col("xc") / F.col("zc"), F.col("yc") / F.col("zc"))
-    placed = ahead.withColumns({"u": rig.fx * a + rig.cx, "v": rig.fy * b + rig.cy, "depth": F.col("zc")})
-    inside = (F.col("u") >= 0) & (F.col("u") < rig.width) & (F.col("v") >= 0) & (F.col("v") < rig.height)
-    return placed.where(inside).drop("xc", "yc", "zc")
+    spot = F.struct((rig.fx * a + rig.cx).alias("u"), (rig.fy * b + rig.cy).alias("v"))
+    placed = ahead.select(*kept, F.inline(F.array(spot)), F.col("zc").alias("depth"))
+    return placed.where((F.col("u") >= 0) & (F.col("u") < rig.width) & (F.col("v") >= 0) & (F.col("v") < rig.height))

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def neighbour_depths(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """keys, n and low: for each point, points within ``radius`` pixels (itself too) and their least depth.
+def with_neighbour_depths(points: DataFrame, radius: float) -> DataFrame:
+    """Adds n, low and high: the points within ``radius`` pixels of the same frame (itself too) and their depths' bounds.
 
-    Cells are as wide as the radius, so a point meets nine cells. What the cells hold is
-    joined on (frame, cell), sums are combined before the last shuffle.
+    Cells are as wide as the radius, so a point meets nine cells. The side that is copied to them carries u, v and
+    depth only; whole rows stay in their own cell. Points of one place are one row of that side, with their count. The
+    sums are grouped on the cell and the row, so the join's partitioning serves them and nothing is shuffled again.
     """
-    cell = points.withColumns({"gx": F.floor(F.col("u") / radius), "gy": F.floor(F.col("v") / radius)})
-    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    mine = cell.select(*keys, F.col("u").alias("pu"), F.col("v").alias("pv"), around.alias("g")).select(*keys, "pu", "pv", "g.gx", "g.gy")
-    other = cell.select("frame_id", "gx", "gy", F.col("u").alias("ou"), F.col("v").alias("ov"), F.col("depth").alias("od"))
-    near = mine.join(other, ["frame_id", "gx", "gy"])
-    near = near.where((F.col("pu") - F.col("ou")) ** 2 + (F.col("pv") - F.col("ov")) ** 2 <= radius * radius)
-    return near.groupBy(*keys).agg(F.count("*").alias("n"), F.min("od").alias("low"), F.max("od").alias("high"))
+    cut = lambda c: F.floor(F.col(c) / radius).cast("int")
+    mine = points.withColumns({"gx": cut("u"), "gy": cut("v"), "row": F.monotonically_increasing_id()})
+    places = points.groupBy("frame_id", F.col("u").alias("ou"), F.col("v").alias("ov")).agg(F.count("*").alias("c"), F.min("depth").alias("od"), F.max("depth").alias("oh"))
+    near = F.explode(F.array(*[F.struct((cut("ou") + i).alias("gx"), (cut("ov") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    other = places.withColumn("g", near).select("frame_id", "g.gx", "g.gy", "ou", "ov", "c", "od", "oh")
+    met = mine.join(other.hint("merge"), ["frame_id", "gx", "gy"]).where((F.col("u") - F.col("ou")) ** 2 + (F.col("v") - F.col("ov")) ** 2 <= radius * radius)
+    kept = [c for c in points.columns if c != "frame_id"]
+    sums = met.groupBy("frame_id", "gx", "gy", "row", *kept).agg(F.sum("c").alias("n"), F.min("od").alias("low"), F.max("oh").alias("high"))
+    return sums.select(*points.columns, "n", "low", "high")
 
 
-def edge_points(points: DataFrame, keys: list[str], radius: float = 3.0, jump: float = 0.3, min_neighbours: int = 3) -> DataFrame:
+def edge_points(points: DataFrame, radius: float = 3.0, jump: float = 0.3, min_neighbours: int = 3) -> DataFrame:
     """Points on the near side of a depth step: enough neighbours, a depth range over ``jump``, and the least depth."""
-    around = neighbour_depths(points, radius, keys).where((F.col("n") >= min_neighbours) & (F.col("high") - F.col("low") > jump))
-    return points.join(around, keys).where(F.col("depth") <= F.col("low") + 1e-9)
+    around = with_neighbour_depths(points, radius)
+    step = (F.col("n") >= min_neighbours) & (F.col("high") - F.col("low") > jump) & (F.col("depth") <= F.col("low") + 1e-9)
+    return around.where(step).select(*points.columns)

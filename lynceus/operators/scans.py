@@ -46,10 +46,13 @@ def motion_cells(image: DataFrame, std_m: float = 0.3, min_frames: int = 3) -> D
 
 
 def occlusion(projected: DataFrame, bucket: int = 8, margin: float = 0.5) -> DataFrame:
-    """frame_id, n and ratio of points that lie over ``margin`` behind the nearest of their bucket of pixels."""
-    spot = projected.withColumns({"bx": F.floor(F.col("u") / bucket), "by": F.floor(F.col("v") / bucket)})
-    low = spot.groupBy("frame_id", "bx", "by").agg(F.min("depth").alias("low"))  # combined before the shuffle
-    return spot.join(low, ["frame_id", "bx", "by"]).groupBy("frame_id").agg(
+    """frame_id, n and ratio of points that lie over ``margin`` behind the nearest of their bucket of pixels.
+
+    Points are read once; a bucket's minimum is a window over (frame, bucket), which spills where a bucket is large.
+    """
+    spot = projected.select("frame_id", "depth", F.floor(F.col("u") / bucket).cast("int").alias("bx"), F.floor(F.col("v") / bucket).cast("int").alias("by"))
+    low = F.min("depth").over(Window.partitionBy("frame_id", "bx", "by"))
+    return spot.withColumn("low", low).groupBy("frame_id").agg(
         F.count("*").alias("n"), (F.count_if(F.col("depth") > F.col("low") + margin) / F.count("*")).alias("ratio")
     )
 

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .projection import Rig, project
+from .projection import Rig, clipped, project
 
 #: Steps of translation in metres and of rotation in degrees.
 METRES = (0.001, 0.005, 0.01, 0.02)
 DEGREES = (0.05, 0.1, 0.2, 0.5, 1.0)
+SECONDS = (0.005, 0.01, 0.02, 0.05, 0.1)
+BENCHMARK_METRES, BENCHMARK_DEGREES = (0.005, 0.01, 0.02), (0.1, 0.2, 0.5)
 
 
-def candidates(rig: Rig) -> list[tuple]:
-    """(axis, direction, delta, twelve numbers of the transform): 24 shifts and 30 turns."""
+def candidates(rig: Rig, metres: tuple[float, ...] = METRES, degrees: tuple[float, ...] = DEGREES, velocity: tuple[float, ...] | None = None, omega: tuple[float, ...] | None = None, seconds: tuple[float, ...] = SECONDS) -> list[tuple]:
+    """(axis, direction, delta, twelve numbers of the transform): 24 shifts and 30 turns, and with a platform's
+    velocity or turning rate ten shifts in time, which move all points of a scan as one body."""
     t, out = rig.transform, []
-    for i, axis in enumerate(("t_x", "t_y", "t_z")):
-        for delta in METRES:
+    for i, axis in enumerate(("tx", "ty", "tz")):
+        for delta in metres:
             for sign in (1, -1):
                 out.append((axis, sign, delta, *(float(x + (sign * delta if j == 4 * i + 3 else 0)) for j, x in enumerate(t))))
     for i, axis in enumerate(("roll_deg", "pitch_deg", "yaw_deg")):
-        for delta in DEGREES:
+        for delta in degrees:
             for sign in (1, -1):
                 c, s = math.cos(math.radians(delta)), sign * math.sin(math.radians(delta))
                 a, b = (i + 1) % 3, (i + 2) % 3  # the plane of the turn
@@ -30,9 +34,42 @@ def candidates(rig: Rig) -> list[tuple]:
                 for j in range(3):
                     new[4 * a + j], new[4 * b + j] = c * t[4 * a + j] - s * t[4 * b + j], s * t[4 * a + j] + c * t[4 * b + j]
                 out.append((axis, sign, delta, *new))
+    if velocity is not None or omega is not None:
+        for delta in seconds:
+            for sign in (1, -1):
+                out.append(("timestamp", sign, delta, *_later(rig, velocity or (0, 0, 0), omega or (0, 0, 0), sign * delta)))
     return out
 
 
+def _later(rig: Rig, velocity: tuple[float, ...], omega: tuple[float, ...], dt: float) -> list[float]:
+    """The rig's transform after the motion of ``dt`` seconds is taken off each point."""
+    m = np.array(rig.transform, float).reshape(3, 4)
+    rate = np.linalg.norm(omega)
+    k = np.array(omega, float) / rate if rate >= 1e-12 else np.zeros(3)
+    cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+    back = (np.eye(3) + math.sin(rate * dt) * cross + (1 - math.cos(rate * dt)) * cross @ cross).T
+    return np.column_stack([m[:, :3] @ back, m[:, 3] - m[:, :3] @ back @ (np.array(velocity, float) * dt)]).ravel().tolist()
+
+
+def benchmark_candidates(rig: Rig) -> list[tuple]:
+    """One-sided steps of each of the six axes, none first, for the test whether errors only grow."""
+    grown = candidates(rig, BENCHMARK_METRES, BENCHMARK_DEGREES)
+    still = [(axis, 1, 0.0, *map(float, rig.transform)) for axis in dict.fromkeys(c[0] for c in grown)]
+    return still + [c for c in grown if c[1] > 0]
+
+
+def variants(spark: SparkSession, grid: list[tuple]) -> DataFrame:
+    """variant (position in ``grid``), axis, direction, delta, m0..m11."""
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(grid)], "variant long, axis string, direction int, delta double, " + ", ".join(f"m{i} double" for i in range(12)))
+
+
+def projected_variants(points: DataFrame, table: DataFrame, rig: Rig) -> DataFrame:
+    """Points in the image under each variant's transform, with u, v, depth and variant; the table of variants is small and broadcast."""
+    row = lambda i: sum((F.col(c) * F.col(f"m{4 * i + k}") for k, c in enumerate("xyz")), F.col(f"m{4 * i + 3}"))
+    every = points.join(F.broadcast(table.select("variant", *[f"m{i}" for i in range(12)])), how="cross")
+    return clipped(every.withColumns({"xc": row(0), "yc": row(1), "zc": row(2)}), rig, [*points.columns, "variant"])
+
+
 def shift_samples(spark: SparkSession, points: DataFrame, rig: Rig) -> DataFrame:
     """axis, direction, delta, n and mean_px, the mean way in pixels of the points seen before and after.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order_statistics import exact_percentiles
+
 #: Right-open bins; the last has no end.
 DEPTH_BINS = [(0, 10, "0-10m"), (10, 20, "10-20m"), (20, 30, "20-30m"), (30, 50, "30-50m"), (50, None, "50m+")]
 GRID_ROWS, GRID_COLUMNS, GRID_POINTS = 6, 8, 3
@@ -26,11 +28,9 @@ def third(position: Column, extent: int, names: tuple[str, str, str]) -> Column:
 def error_stats(points: DataFrame, labels: list[str]) -> DataFrame:
     """label, mean, median, p95, std over matched points, valid and failed counts; a row for each of ``labels``, empty ones too."""
     matched = F.when(F.col("matched"), F.col("error"))
-    stats = points.groupBy("label").agg(
-        F.avg(matched).alias("mean_px"), F.expr("percentile(CASE WHEN matched THEN error END, 0.5)").alias("median_px"),
-        F.expr("percentile(CASE WHEN matched THEN error END, 0.95)").alias("p95_px"), F.stddev_pop(matched).alias("std_px"),
-        F.count_if("matched").alias("valid"), F.count_if(~F.col("matched")).alias("failed"),
-    )
+    stats = points.groupBy("label").agg(F.avg(matched).alias("mean_px"), F.stddev_pop(matched).alias("std_px"), F.count_if("matched").alias("valid"), F.count_if(~F.col("matched")).alias("failed"))
+    ranks = exact_percentiles(points.select("label", matched.alias("e")), "label", "e", {"median_px": 0.5, "p95_px": 0.95})
+    stats = stats.join(ranks, "label", "left")
     every = points.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     zero = F.lit(0).cast("long")
     return F.broadcast(every).join(stats, "label", "left").withColumns({"valid": F.coalesce("valid", zero), "failed": F.coalesce("failed", zero)})

@@ -1 +1 @@
-"""Part of the lynceus engine."""
+"""Whole evaluations, composed of the operators."""

@@ -1 +1 @@
-"""Part of the lynceus engine."""
+"""Readers: folders of images and point clouds, rosters of frames, earlier reports."""

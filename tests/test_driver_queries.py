@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus import driver_queries
+from lynceus import decision_queries, driver_queries, frame_queries  # noqa: F401
 from lynceus.operators import noise_floor, projection, radius, scans, stability
+from lynceus.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ DATA = "/root/testdata/sf0.001"
 def duck():
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
-    for name in ("lineitem", "orders", "events"):
+    for name in ("lineitem", "orders", "events", "nation", "supplier", "customer"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DATA}/{name}.parquet')")
     return con
 
@@ -27,9 +28,9 @@ def _rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(driver_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    mine, theirs = driver_queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(driver_queries.ORACLES[name]).df()
+    mine, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert _rows(mine) == _rows(theirs)
 
@@ -42,13 +43,13 @@ def test_depth_step_scene_has_a_near_edge(spark):
     rig = projection.Rig(200, 200, 100.0, 100.0, 100.0, 100.0)
     placed = projection.project(pts, rig)
     assert placed.count() == n * n
-    edges = radius.edge_points(placed, ["frame_id", "point_id"])
+    edges = radius.edge_points(placed)
     assert {r["depth"] for r in edges.collect()} == {5.0} and edges.count() == n
 
 
 def test_floor_scores_and_classes(spark):
     one = spark.range(1)
-    row = one.select(*[noise_floor.score(F.lit(x)).alias(f"s{i}") for i, x in enumerate((0.0, 2.0, 5.0))], noise_floor.classify(F.lit(2.0), F.lit(1.0)).alias("c")).first()
+    row = one.select(*[noise_floor.score(F.lit(x), F.lit(1.0)).alias(f"s{i}") for i, x in enumerate((0.0, 2.0, 5.0))], noise_floor.classify(F.lit(2.0), F.lit(1.0)).alias("c")).first()
     assert [round(row[i], 6) for i in range(3)] == [100.0, 80.0, 50.0] and row["c"] == "WARNING"
 
 

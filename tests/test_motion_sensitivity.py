@@ -28,7 +28,7 @@ def test_candidates_are_rigid():
     for axis, sign, delta, *m in found:
         m = np.array(m).reshape(3, 4)
         assert np.allclose(m[:, :3] @ m[:, :3].T, np.eye(3)) and np.isclose(np.linalg.det(m[:, :3]), 1)
-        if axis.startswith("t_"):
-            assert np.isclose(m["xyz".index(axis[2]), 3], (0.2, -0.1, 0.1)["xyz".index(axis[2])] + sign * delta)
+        if axis.startswith("t"):
+            assert np.isclose(m["xyz".index(axis[1]), 3], (0.2, -0.1, 0.1)["xyz".index(axis[1])] + sign * delta)
         if axis == "yaw_deg":
             assert np.isclose(m[1, 0], sign * math.sin(math.radians(delta)))
