@@ -25,9 +25,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder named in spark.checkpoint.dir, which driver and executors must share. Only a local session, as in
+    tests, gets one of its own where it is unset; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lynceus-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,20 +48,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts in an Arrow batch, where the session sets no bound itself, and in a slice of one.
+BATCH_BYTES = SLICE_BYTES = 4 << 20
+
+
 def row_slices(batches: Iterator, rows: int = 500) -> Iterator:
-    """Arrow batches cut to at most ``rows`` rows, so that few texts are Python objects at a time."""
+    """Arrow batches cut to at most ``rows`` rows and some 4 MB of text, so that few texts are Python objects at a time. A longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        a, total = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > a and (i - a >= rows or total + n > SLICE_BYTES):
+                yield batch.slice(a, i - a)
+                a, total = i, 0
+            total += n
+        if batch.num_rows > a:
+            yield batch.slice(a)
     give_back_memory()
 
 
+def text_values(column) -> Iterator:  # noqa: ANN001
+    """A column's texts as Python strings, one at a time."""
+    return (x.as_py() for x in column)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts reach Python in Arrow batches of at most 4 MB, unless the session sets a bound itself: long texts
     would otherwise fill batches of 64 MB in the JVM's direct memory and in Python at once."""
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
     if bound not in spark.conf.getAll:
-        spark.conf.set(bound, str(4 << 20))
+        spark.conf.set(bound, str(BATCH_BYTES))
 
 
 def give_back_memory() -> None:
@@ -75,13 +101,13 @@ def give_back_memory() -> None:
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+    """True if ``df``, a written table, has at most ``rows`` rows; each task counts its own part."""
+    return df.count() <= rows
 
 
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its row count is within the bound, else as it is,
-    which leaves a shuffled join that AQE can split."""
+    which leaves a shuffled join that AQE can split. It should be a written table, or cheap to count."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 

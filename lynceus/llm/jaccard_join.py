@@ -1,12 +1,12 @@
 """N-gram Jaccard self-join by T-occurrence search with DivideSkip.
 
-Documents of equal shingle sets form a class, and the join is between classes. Each
-class posts its smallest shingle hashes. Lists that are short are merged between
-documents: two classes that meet in enough of them are neighbours. Lists that are
-long are left out, unless a class has hardly any others; then all classes of the list
-are neighbours of its first one. Connected neighbours form a family, and every link
-lies inside a family: classes with a Jaccard similarity of 0.8 miss each other with a
-probability below 1e-9, whatever their texts, for 32 posted hashes.
+Documents of equal shingle sets form a class, and the join is between classes. Which classes may link is decided by
+prefix filtering, which is exact: in any one order of all shingles, two sets with a similarity of 0.8 share one of the
+first n - ceil(0.8 n) + 1 shingles of both. The order puts rare shingles first: all shingles of all documents are counted,
+those in more than SHORT_LIST sets go to the end. Classes whose prefixes share a rare shingle are counted for each pair, and pairs
+that cannot reach the required overlap any more are left out. Classes whose prefixes reach into the frequent shingles, so sets
+of which four fifths are frequent, are tied to the first class of each such list. Connected classes form a family, and
+every link lies inside a family.
 
 Inside a family the T-occurrence search is exact: for each class the short inverted
 lists of its shingles are merged, classes that reach the required overlap less the
@@ -18,6 +18,7 @@ ever holds more than two blocks, and copies are never expanded into pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, connected_components, materialize, row_slices
+from .common import broadcast_if, connected_components, materialize, row_slices, text_values
 from .shingles import WordHasher, mix, shingle_set
 
-#: Smallest hashes kept of a class, and how many of those in short lists it posts.
-LOW = 64
-POSTED = 32
-#: A list with more classes is long.
+#: A shingle in more sets than this is frequent: it goes to the end of the order, and its list is tied instead of paired.
 SHORT_LIST = 64
-#: Long lists known to every task; with more, the longest ones are.
-LONG_LISTS = 500_000
-#: Two classes are neighbours if they share a tenth of the posted hashes.
-NEIGHBOUR_SHARE = 10
+#: Bits of the table of frequent shingles, a bounded 8 MB. With more than an eighth as many, only the more frequent ones
+#: count as such; two shingles may share a bit. Both change the order only, and any order is exact.
+ORDER_BITS = 26
+#: Shingles (and postings) that a task gathers before it sends them on, and that a bucket is meant to hold.
+FLUSH = 2_000_000
 #: Classes and shingles of a block; families beyond it are split.
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 1_000_000
@@ -47,19 +46,13 @@ HOT_SHARE = 1000
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash -> n, cls (a hash of the whole set; null without words), low (its smallest hashes)."""
+    """id, text_hash -> n, cls (a hash of the whole set; null without words), hashes (the set, ascending)."""
     hasher = WordHasher()
     for batch in row_slices(batches):
-        n, cls, low = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(hasher.words(text))
-            n.append(len(s))
-            cls.append(set_id(s) if len(s) else None)
-            low.append(s[:LOW].view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-        lows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.empty(0, np.int64)])))
-        columns = [batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lows]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "cls", "low"])
+        sets = [shingle_set(hasher.words(t)) for t in text_values(batch.column("text"))]
+        cls = [set_id(s) if len(s) else None for s in sets]
+        columns = [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "cls", "hashes"])
 
 
 def set_id(s: np.ndarray) -> int:
@@ -67,49 +60,154 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for batch in row_slices(batches):
-        sets = [shingle_set(hasher.words(t)) for t in batch.column(0).to_pylist()]
-        for i in range(0, len(sets), 1000):
-            some = [s for s in sets[i : i + 1000] if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["cls", "hashes"])
-
-
-def _postings(batches: Iterator[pa.RecordBatch], long_lists: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """token, cls, n, posted, long for each posting of each class."""
+def _flushes(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(classes, their sizes, all their hashes) of many rows at a time, each class once; some FLUSH hashes each."""
+    names, sizes, blobs, total = [], [], [], 0
     for batch in batches:
-        low = batch.column("low")
-        flat = low.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(low.value_lengths().to_numpy(zero_copy_only=False))
-        is_long = np.isin(flat, long_lists)
-        rows: list[np.ndarray] = []
-        posted = np.zeros(len(ends), np.int64)
-        start = 0
-        for i, end in enumerate(ends.tolist()):
-            at = np.arange(start, end)
-            short = at[~is_long[start:end]][:POSTED]
-            posted[i] = len(short)
-            # Hardly any short list: fewer than half of the hashes.
-            rows.append(short if 2 * len(short) >= min(end - start, LOW) else np.concatenate([short, at[is_long[start:end]]]))
-            start = end
-        which = np.repeat(np.arange(len(ends)), [len(x) for x in rows])
-        at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
         cls, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "n"))
-        columns = [flat[at], cls[which], n[which], posted[which], is_long[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "posted", "is_long"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each short list whose sizes allow a link."""
-    for batch in batches:
-        for row in batch.column(0).to_pylist():
-            members = sorted((m["cls"], m["n"], m["posted"]) for m in row)
-            cls, n, posted = (np.array(x, np.int64) for x in zip(*members))
-            i, j = np.triu_indices(len(cls), 1)
-            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (cls[i] != cls[j])
-            i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j]), pa.array(np.minimum(posted[i], posted[j]))], ["a", "b", "posted"])
+        hashes = batch.column("hashes")
+        for i in range(batch.num_rows):
+            names.append(cls[i])
+            sizes.append(n[i])
+            blobs.append(np.frombuffer(hashes[i].as_buffer(), np.uint64))
+            total += int(n[i])
+            if total >= flush:
+                yield _distinct(names, sizes, blobs)
+                names, sizes, blobs, total = [], [], [], 0
+    if names:
+        yield _distinct(names, sizes, blobs)
+
+
+def _distinct(names: list, sizes: list, blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cls, first = np.unique(np.array(names, np.int64), return_index=True)
+    return cls, np.array(sizes, np.int64)[first], np.concatenate([blobs[i] for i in first.tolist()])
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _name(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What a shingle is counted by: its first ``bits`` bits."""
+    return hashes >> np.uint64(64 - bits)
+
+
+def _slot(names: np.ndarray, order_bits: int) -> np.ndarray:
+    return (mix(names) >> np.uint64(64 - order_bits)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """bucket, names, counts: the shingles of a flush, each once with the number of its sets."""
+    for _, _, hashes in _flushes(batches, flush):
+        hashes = np.sort(hashes)
+        names, counts = np.unique(_name(hashes, bits), return_counts=True)
+        where = _bucket(names << np.uint64(64 - bits), buckets)
+        cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]])
+        low = (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        columns = [pa.array(where[cuts[:-1]].astype(np.int64)), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())]
+        high = pa.array([(names[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() for a, b in spans], pa.binary())
+        yield pa.RecordBatch.from_arrays([columns[0], high, columns[1], columns[2]], ["bucket", "high", "low", "counts"])
+
+
+def _frequent(table: pa.Table, short: int, order_bits: int) -> pa.Table:
+    """slot, n of the shingles of a bucket that are in more than ``short`` sets."""
+    part = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+    names = part("high", np.uint16).astype(np.uint64) << np.uint64(32) | part("low", np.uint32).astype(np.uint64)
+    counts = part("counts", np.uint32)
+    order = np.argsort(names, kind="stable")
+    names, starts = np.unique(names[order], return_index=True)
+    totals = np.add.reduceat(counts[order].astype(np.int64), starts)
+    often = totals > short
+    return pa.table({"slot": pa.array(_slot(names[often], order_bits)), "n": pa.array(totals[often])})
+
+
+def _order(rows: DataFrame, shingles: int) -> tuple[bytes, int]:
+    """The table of frequent shingles, a bit each, and the bits of a shingle that it looks at."""
+    buckets = max(16, 1 << math.ceil(math.log2(shingles / FLUSH + 1)))
+    bits, flush, short, order_bits = 48, FLUSH, SHORT_LIST, ORDER_BITS
+    blobs = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(lambda b: _counts(b, buckets, bits, flush), "bucket long, high binary, low binary, counts binary")
+    often = materialize(blobs.groupBy("bucket").applyInArrow(lambda t: _frequent(t, short, order_bits), "slot long, n long"), "frequent")
+    level = F.floor(F.log2(F.col("n") / short)).cast("int")
+    sizes = {r["level"]: r["count"] for r in often.groupBy(level.alias("level")).count().collect()}  # at most 64 rows
+    at = 0
+    while sum(c for k, c in sizes.items() if k >= at) > (1 << order_bits) // 8:
+        at += 1
+    words = often.where(level >= at).groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("b")).collect()  # 8 MB at most
+    bitmap = bytearray(max(4096, 1 << (order_bits - 3)))
+    for r in words:
+        start = (r["w"] - 1) * 4096
+        bitmap[start : start + 4096] = r["b"]
+    return bytes(bitmap), bits
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buckets: int, percent: int, order_bits: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """Postings of the classes' prefixes: rare ones packed by bucket (token, cls, n, s), frequent ones a row each (token, cls).
+
+    s is the number of rare shingles in a prefix.
+    """
+    for cls, n, hashes in _flushes(batches, flush):
+        slot = _slot(_name(hashes, bits), order_bits)
+        often = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        owner, start = np.repeat(np.arange(len(cls)), n), np.cumsum(n) - n
+        seen = np.concatenate([[0], np.cumsum(often == 0)])  # rare ones up to here
+        rares = seen[start + n] - seen[start]
+        before = seen[:-1] - np.repeat(seen[start], n)
+        # Rare ones first, each kind in the order of the hashes.
+        rank = np.where(often, np.repeat(rares, n) + np.arange(len(hashes)) - np.repeat(start, n) - before, before)
+        length = n - (-(-percent * n // 100)) + 1
+        keep = np.nonzero(rank < length[owner])[0]
+        rare = keep[often[keep] == 0]
+        s = np.minimum(rares, length)
+        rare = rare[np.argsort(hashes[rare], kind="stable")]
+        where = _bucket(hashes[rare], buckets)
+        cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]]) if len(where) else np.zeros(1, np.int64)
+        packed = np.empty(len(rare), POSTING)
+        packed["token"], packed["cls"], packed["n"], packed["s"] = hashes[rare], cls[owner[rare]], n[owner[rare]], s[owner[rare]]
+        blobs = [packed[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        empty = pa.nulls(len(blobs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary()), empty, empty], PREFIX_NAMES)
+        rest = keep[often[keep] == 1]
+        if len(rest):
+            none = pa.nulls(len(rest), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rest), pa.binary()), pa.array(hashes[rest].view(np.int64)), pa.array(cls[owner[rest]])], PREFIX_NAMES)
+
+
+POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("s", "<i4")])
+PREFIX_NAMES = ["bucket", "postings", "token", "cls"]
+
+
+def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
+    """a, b, c, need: pairs of classes that share c rare shingles of a bucket and need that many in all; of a longer list, classes and its first one."""
+    p = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table.column("postings")])
+    p = p[np.lexsort([p["cls"], p["token"]])]
+    p = p[np.concatenate([[True], (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])])]
+    starts = np.nonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))[0]
+    lengths = np.diff(np.concatenate([starts, [len(p)]]))
+    found = []
+    for gap in range(1, short):  # members of short lists that stand ``gap`` apart
+        some = starts[(lengths > gap) & (lengths <= short)]
+        if not len(some):
+            break
+        span = lengths[(lengths > gap) & (lengths <= short)] - gap
+        i = np.repeat(some - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+        found.append(np.stack([i, i + gap]))
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    x, y = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
+    fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    i, j, x, y = i[fits], j[fits], x[fits], y[fits]
+    overlap = -(-percent * (x + y) // (100 + percent))
+    need = np.maximum(1, overlap - np.maximum(x - p["s"][i], y - p["s"][j]))
+    a, b = p["cls"][i], p["cls"][j]
+    order = np.lexsort([b, a])
+    a, b, need = a[order], b[order], need[order]
+    first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0] if len(a) else np.zeros(0, np.int64)
+    c = np.diff(np.concatenate([first, [len(a)]]))
+    long_ones = np.repeat(lengths, lengths) > short
+    heads, rest = p["cls"][np.repeat(starts, lengths)[long_ones]], p["cls"][long_ones]
+    cat = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
+    ones = np.ones(len(rest), np.int64)
+    return pa.table({"a": cat(a[first], heads), "b": cat(b[first], rest), "c": cat(c, ones), "need": cat(need[first], ones)})
 
 
 def t_occurrence_links(queries: list[np.ndarray], index: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -173,21 +271,21 @@ def _search_task(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _neighbours(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b between classes that may link, or are led together by a long list."""
-    lists = classes.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") > SHORT_LIST)
-    longest = lists.orderBy(F.desc("count"), "token").limit(LONG_LISTS).toPandas()  # at most 4 MB of hashes
-    known = np.sort(longest["token"].to_numpy(np.int64))
-    postings = materialize(
-        classes.select("cls", "n", "low").mapInArrow(lambda b: _postings(b, known), "token long, cls long, n long, posted long, is_long boolean"), "postings"
+def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
+    """Edges a, b between classes that may link, or share a frequent shingle of their prefixes with the same first class."""
+    bitmap, bits = _order(rows, shingles)
+    order_bits, flush, short = ORDER_BITS, FLUSH, SHORT_LIST
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
+    buckets = max(16, 1 << math.ceil(math.log2(shingles / 4 / FLUSH + 1)) + 2)
+    prefixes = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(
+        lambda b: _prefixes(b, np.frombuffer(shared.value, np.uint8), bits, buckets, percent, order_bits, flush), "bucket long, postings binary, token long, cls long"
     )
-    short = postings.where("not is_long").groupBy("token").agg(F.collect_list(F.struct("cls", "n", "posted")).alias("members")).where(F.size("members") > 1)
-    met = short.select("members").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, posted long")
-    enough = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("posted").alias("posted"))
-    enough = enough.where(F.col("c") * NEIGHBOUR_SHARE >= F.col("posted") - NEIGHBOUR_SHARE).select("a", "b")
-    long_ones = postings.where("is_long")
-    heads = long_ones.groupBy("token").agg(F.min("cls").alias("b"))
-    led = long_ones.join(F.broadcast(heads), "token").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()  # LONG_LISTS heads at most
+    prefixes = materialize(prefixes, "prefixes")
+    met = prefixes.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(lambda t: _meetings(t, percent, short), "a long, b long, c long, need long")
+    enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where((F.col("c") >= F.col("need")) & (F.col("a") != F.col("b"))).select("a", "b")
+    often = prefixes.where("token is not null").select("token", "cls").distinct()
+    heads = broadcast_if(materialize(often.groupBy("token").agg(F.min("cls").alias("b")), "heads"), BROADCAST_ROWS)
+    led = often.join(heads, "token").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
     return enough.union(led)
 
 
@@ -200,17 +298,16 @@ def _search(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return filled.groupBy("task").applyInArrow(lambda t: _search_task(t, percent), "a long, b long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, shingles: int, percent: int) -> DataFrame:
     """Edges a, b between classes whose components are those of all links."""
-    spark = docs.sparkSession
-    edges = materialize(_neighbours(classes, percent), "neighbours")
+    edges = materialize(_neighbours(rows, shingles, percent), "neighbours")
     family = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "n", "rep"), "cls"), "families")
     total = family.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = materialize(total.where((F.col("members") > 2 * BLOCK_CLASSES) | (F.col("shingles") > 2 * BLOCK_SHINGLES)).select("family"), "large")
     reps = broadcast_if(family.select("rep.text_hash", F.col("rep.id").alias("rep_id")), BROADCAST_ROWS)
     # One row of each class; rows that repeat its id and text too do no harm.
-    wanted = docs.join(reps, (docs["text_hash"] == reps["text_hash"]) & docs["id"].eqNullSafe(reps["rep_id"]), "left_semi")
-    sets = materialize(wanted.select("text").mapInArrow(_sets, "cls long, hashes binary"), "sets")
+    wanted = rows.join(reps, (rows["text_hash"] == reps["text_hash"]) & rows["id"].eqNullSafe(reps["rep_id"]), "left_semi")
+    sets = wanted.select("cls", "hashes")
     split = broadcast_if(large, BROADCAST_ROWS)
     small = family.join(split, "family", "left_anti").select(F.col("family").alias("task"), "cls", F.lit(0).alias("side"))
     out = materialize(_search(small, sets, percent), "links")
@@ -256,22 +353,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     own = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    rows = materialize(own.mapInArrow(_fingerprints, f"id {kind}, text_hash long, n long, cls long, low array<long>"), "fingerprints")
+    rows = materialize(own.mapInArrow(_fingerprints, f"id {kind}, text_hash long, n long, cls long, hashes binary"), "fingerprints")
     grouped = rows.where("cls is not null").groupBy("cls")
-    classes = materialize(grouped.agg(F.min("id").alias("low_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("rep"), F.first("low").alias("low")), "classes")
-    total = rows.count()
-    links = materialize(connected_components(_links(own, classes, percent)), "linked").select(F.col("node").alias("cls"), "component")
+    classes = materialize(grouped.agg(F.min("id").alias("low_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.min(F.struct("text_hash", "id")).alias("rep")), "classes")
+    total, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    links = materialize(connected_components(_links(rows, classes, shingles, percent)), "linked").select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", "low_id", "size").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = materialize(named, "named")
     lowest = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
     named = materialize(named.join(lowest, "component").select("cls", "size", "component_id"), "named")
     hot = F.col("size") * HOT_SHARE >= total
     often = F.broadcast(named.where(hot).select("cls", "component_id"))  # HOT_SHARE rows at most
-    plain = rows.drop("low").where("cls is not null")
+    plain = rows.drop("hashes").where("cls is not null")
     joined = plain.join(often, "cls").unionByName(
         plain.join(F.broadcast(named.where(hot).select("cls")), "cls", "left_anti").join(named.where(~hot).select("cls", "component_id"), "cls")
     )
-    alone = rows.drop("low").where("cls is null").withColumn("component_id", F.col("id"))
+    alone = rows.drop("hashes").where("cls is null").withColumn("component_id", F.col("id"))
     return joined.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "text_hash")
 
 

@@ -60,8 +60,8 @@ def corpus(seed=5):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_components_equal_brute_force(spark, monkeypatch, small):
-    if small:  # all paths for long lists and large families
-        for name, value in (("SHORT_LIST", 8), ("BLOCK_CLASSES", 10), ("PIVOTS", 2)):
+    if small:  # all paths for frequent shingles and large families
+        for name, value in (("SHORT_LIST", 3), ("BLOCK_CLASSES", 10), ("PIVOTS", 2), ("FLUSH", 3000)):
             monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(4)
@@ -77,3 +77,38 @@ def test_near_dedup_keeps_one_and_takes_odd_tables(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((r[0] or -1, r[2] or -1) for r in jaccard_join.jaccard_components(odd).collect()) == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
+
+
+@pytest.mark.parametrize("bits", [8, 26])
+def test_sets_made_of_frequent_shingles(spark, monkeypatch, bits):
+    """Texts put together from a few lines that all share: links that only frequent shingles show; a full table of them changes nothing."""
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(jaccard_join, "ORDER_BITS", bits)
+    rng = random.Random(9)
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(14)]
+    texts = []
+    for _ in range(50):
+        some = sorted(rng.sample(range(14), rng.randint(3, 10)))
+        for _ in range(3):
+            texts.append(" ".join(lines[i] for i in some if rng.random() < 0.93) + (f" own{rng.randint(0, 50)}" if rng.random() < 0.5 else ""))
+    rows = list(enumerate(texts))
+    want = brute_force(rows)
+    assert 10 < len({c for _, _, c in want}) < 130  # some link, others don't
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_prefixes_hold_every_link():
+    """Of any two sets at 0.8 the first shingles in any order meet."""
+    rng = random.Random(2)
+    for _ in range(300):
+        x = set(rng.sample(range(400), rng.randint(1, 60)))
+        y = set(x)
+        for _ in range(rng.randint(0, 12)):
+            y.discard(rng.choice(sorted(y))) if rng.random() < 0.5 and len(y) > 1 else y.add(rng.randrange(400))
+        if 100 * len(x & y) >= 80 * len(x | y):
+            order = list(range(400))
+            rng.shuffle(order)
+            first = lambda s: sorted(s, key=order.__getitem__)[: len(s) - (-(-80 * len(s) // 100)) + 1]
+            assert set(first(x)) & set(first(y))
