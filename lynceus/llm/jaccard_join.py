@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, connected_components, materialize, row_slices, text_values
+from .common import broadcast_if, connected_components, give_back_memory, materialize, row_slices, small_batches, text_values
 from .shingles import WordHasher, mix, shingle_set
 
 #: A shingle in more sets than this is frequent: it goes to the end of the order, and its list is tied instead of paired.
@@ -34,8 +34,8 @@ SHORT_LIST = 64
 #: Bits of the table of frequent shingles, a bounded 8 MB. With more than an eighth as many, only the more frequent ones
 #: count as such; two shingles may share a bit. Both change the order only, and any order is exact.
 ORDER_BITS = 26
-#: Shingles (and postings) that a task gathers before it sends them on, and that a bucket is meant to hold.
-FLUSH = 2_000_000
+#: Shingles that a task gathers before it sends them on; a bucket is meant to hold four times as many, or as many postings.
+FLUSH = 1_000_000
 #: Classes and shingles of a block; families beyond it are split.
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 1_000_000
@@ -76,6 +76,8 @@ def _flushes(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[np
                 names, sizes, blobs, total = [], [], [], 0
     if names:
         yield _distinct(names, sizes, blobs)
+    del names, sizes, blobs
+    give_back_memory()
 
 
 def _distinct(names: list, sizes: list, blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,12 +124,17 @@ def _frequent(table: pa.Table, short: int, order_bits: int) -> pa.Table:
     return pa.table({"slot": pa.array(_slot(names[often], order_bits)), "n": pa.array(totals[often])})
 
 
+def _buckets(size: int) -> int:
+    """A power of two; buckets are tasks of their own, so their number grows with the input and their size does not."""
+    return max(16, 1 << math.ceil(math.log2(size / (4 * FLUSH) + 1)))
+
+
 def _order(rows: DataFrame, shingles: int) -> tuple[bytes, int]:
     """The table of frequent shingles, a bit each, and the bits of a shingle that it looks at."""
-    buckets = max(16, 1 << math.ceil(math.log2(shingles / FLUSH + 1)))
+    buckets = _buckets(shingles)
     bits, flush, short, order_bits = 48, FLUSH, SHORT_LIST, ORDER_BITS
     blobs = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(lambda b: _counts(b, buckets, bits, flush), "bucket long, high binary, low binary, counts binary")
-    often = materialize(blobs.groupBy("bucket").applyInArrow(lambda t: _frequent(t, short, order_bits), "slot long, n long"), "frequent")
+    often = materialize(blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _frequent(t, short, order_bits), "slot long, n long"), "frequent")
     level = F.floor(F.log2(F.col("n") / short)).cast("int")
     sizes = {r["level"]: r["count"] for r in often.groupBy(level.alias("level")).count().collect()}  # at most 64 rows
     at = 0
@@ -141,11 +148,8 @@ def _order(rows: DataFrame, shingles: int) -> tuple[bytes, int]:
     return bytes(bitmap), bits
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, buckets: int, percent: int, order_bits: int, flush: int) -> Iterator[pa.RecordBatch]:
-    """Postings of the classes' prefixes: rare ones packed by bucket (token, cls, n, s), frequent ones a row each (token, cls).
-
-    s is the number of rare shingles in a prefix.
-    """
+def _prefixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, percent: int, order_bits: int, flush: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(classes, sizes, hashes, owner of each hash, positions of the rare shingles of the prefixes, their number, positions of the frequent ones)."""
     for cls, n, hashes in _flushes(batches, flush):
         slot = _slot(_name(hashes, bits), order_bits)
         often = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
@@ -157,24 +161,29 @@ def _prefixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int,
         rank = np.where(often, np.repeat(rares, n) + np.arange(len(hashes)) - np.repeat(start, n) - before, before)
         length = n - (-(-percent * n // 100)) + 1
         keep = np.nonzero(rank < length[owner])[0]
-        rare = keep[often[keep] == 0]
-        s = np.minimum(rares, length)
+        is_rare = often[keep] == 0
+        yield cls, n, hashes, owner, keep[is_rare], np.minimum(rares, length), keep[~is_rare]
+
+
+def _rare_postings(prefixes: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, postings: packed (token, cls, n, s) of the rare shingles of prefixes; s is the number of them in the prefix."""
+    for cls, n, hashes, owner, rare, s, _ in prefixes:
         rare = rare[np.argsort(hashes[rare], kind="stable")]
         where = _bucket(hashes[rare], buckets)
         cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]]) if len(where) else np.zeros(1, np.int64)
         packed = np.empty(len(rare), POSTING)
         packed["token"], packed["cls"], packed["n"], packed["s"] = hashes[rare], cls[owner[rare]], n[owner[rare]], s[owner[rare]]
         blobs = [packed[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        empty = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary()), empty, empty], PREFIX_NAMES)
-        rest = keep[often[keep] == 1]
-        if len(rest):
-            none = pa.nulls(len(rest), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rest), pa.binary()), pa.array(hashes[rest].view(np.int64)), pa.array(cls[owner[rest]])], PREFIX_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "postings"])
+
+
+def _frequent_postings(prefixes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """token, cls of the frequent shingles of prefixes."""
+    for cls, _, hashes, owner, _, _, often in prefixes:
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(cls[owner[often]])], ["token", "cls"])
 
 
 POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("s", "<i4")])
-PREFIX_NAMES = ["bucket", "postings", "token", "cls"]
 
 
 def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
@@ -276,14 +285,14 @@ def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
     bitmap, bits = _order(rows, shingles)
     order_bits, flush, short = ORDER_BITS, FLUSH, SHORT_LIST
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
-    buckets = max(16, 1 << math.ceil(math.log2(shingles / 4 / FLUSH + 1)) + 2)
-    prefixes = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(
-        lambda b: _prefixes(b, np.frombuffer(shared.value, np.uint8), bits, buckets, percent, order_bits, flush), "bucket long, postings binary, token long, cls long"
-    )
-    prefixes = materialize(prefixes, "prefixes")
-    met = prefixes.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(lambda t: _meetings(t, percent, short), "a long, b long, c long, need long")
+    buckets = _buckets(shingles // 4)
+    sets = rows.where("cls is not null").select("cls", "n", "hashes")
+    prefixes = lambda b: _prefixes(b, np.frombuffer(shared.value, np.uint8), bits, percent, order_bits, flush)
+    # Prefixes are worked out twice, since the rare postings are the larger part and need not be written.
+    rare = sets.mapInArrow(lambda b: _rare_postings(prefixes(b), buckets), "bucket long, postings binary").repartition(buckets, "bucket")
+    met = rare.groupBy("bucket").applyInArrow(lambda t: _meetings(t, percent, short), "a long, b long, c long, need long")
     enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where((F.col("c") >= F.col("need")) & (F.col("a") != F.col("b"))).select("a", "b")
-    often = prefixes.where("token is not null").select("token", "cls").distinct()
+    often = materialize(sets.mapInArrow(lambda b: _frequent_postings(prefixes(b)), "token long, cls long").distinct(), "frequent")
     heads = broadcast_if(materialize(often.groupBy("token").agg(F.min("cls").alias("b")), "heads"), BROADCAST_ROWS)
     led = often.join(heads, "token").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
     return enough.union(led)
@@ -351,6 +360,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows of one class; a null key is never the smallest unless alone. An empty table
     gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     rows = materialize(own.mapInArrow(_fingerprints, f"id {kind}, text_hash long, n long, cls long, hashes binary"), "fingerprints")
