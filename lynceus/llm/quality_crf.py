@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices, small_batches, text_values
+
 #: Training documents of each label, chosen by a hash of the text, and the longest that trains.
 TRAIN_DOCS = 1200
 TRAIN_CHARS = 20_000
 CHUNK_CHARS = 1 << 20
-STEPS = 250
+STEPS = 150
+#: Fits, and the log odds at which a line takes the other label for the next one.
+ROUNDS, SURE = 2, 5.0
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _SYMBOL, _HIGH, _LINE = range(8)
 
@@ -139,25 +143,76 @@ class QualityModel:
     tie: np.ndarray
 
     def qualities(self, texts: list[str]) -> np.ndarray:
-        x, size, per_text = line_features(texts)
+        out, some, size = [], [], 0
+        for text in texts:
+            if len(text) > CHUNK_CHARS:
+                if some:
+                    out.append(self._marginals(*line_features(some)))
+                    some, size = [], 0
+                out.append(self._marginals(*_long_features(text)))
+                continue
+            some.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                out.append(self._marginals(*line_features(some)))
+                some, size = [], 0
+        if some:
+            out.append(self._marginals(*line_features(some)))
+        return np.concatenate([*out, np.empty(0)])
+
+    def _marginals(self, x: np.ndarray, size: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         marginal, _ = forward_backward(with_neighbours(x, per_text) @ self.weights, per_text, self.tie)
         first = np.cumsum(per_text) - per_text
         return np.clip(np.add.reduceat(marginal * (size + 1), first) / np.add.reduceat(size + 1, first), 0, 1)
 
 
+def _long_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of one text, some lines at a time; each time the line before goes along, since a line may repeat it."""
+    lines, xs, sizes, a = text.split("\n"), [], [], 0
+    while a < len(lines):
+        b, total = a, 0
+        while b < len(lines) and (b == a or total + len(lines[b]) < CHUNK_CHARS):
+            total += len(lines[b])
+            b += 1
+        x, size, _ = line_features(["\n".join(lines[max(a - 1, 0) : b])])
+        xs.append(x[min(a, 1) :])
+        sizes.append(size[min(a, 1) :])
+        a = b
+    return np.concatenate(xs), np.concatenate(sizes), np.array([len(lines)])
+
+
 def fit(texts: list[str], labels: list[int], ridge: float = 1e-3) -> QualityModel:
-    """Maximum likelihood by Adam steps; every line has its document's label, and each document the same weight."""
+    """Maximum likelihood by Adam steps, each document with the same weight.
+
+    At first every line has its document's label. Then lines that look surely otherwise by themselves take the other
+    label, but for the line of each document that fits its label best, and the field is fitted again: so labels change
+    within documents and the ties learn from it.
+    """
     if not texts:
         return QualityModel(np.zeros(16 * 3 + 3), np.zeros((2, 2)))
     x, _, per_text = line_features(texts)
     x = with_neighbours(x, per_text).astype(np.float64)
-    y = np.repeat(np.array(labels, float), per_text)
-    each = np.repeat(1 / per_text, per_text) / len(texts)
-    is_inner = np.ones(len(y), bool)
-    is_inner[np.cumsum(per_text) - per_text] = False
-    seen = np.diag([float((each * is_inner * (1 - y)).sum()), float((each * is_inner * y).sum())])
-    scale = float((each * is_inner).sum()) / max(is_inner.sum(), 1)
-    theta = np.zeros(x.shape[1] + 4)
+    document = np.repeat(np.array(labels, float), per_text)
+    first = np.cumsum(per_text) - per_text
+    y, model = document, None
+    for _ in range(ROUNDS):
+        model = _fitted(x, y, per_text, ridge, model)
+        own = np.where(document > 0, 1, -1) * (x @ model.weights)  # how far each line speaks for its document's label
+        best = np.maximum.reduceat(own, first)
+        flipped = (own < -SURE) & (own < np.repeat(best, per_text))
+        y = np.where(flipped, 1 - document, document)
+    return model
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, per_text: np.ndarray, ridge: float, start: QualityModel | None) -> QualityModel:
+    each = np.repeat(1 / per_text, per_text) / len(per_text)
+    inner = np.ones(len(y), bool)
+    inner[np.cumsum(per_text) - per_text] = False
+    at = np.flatnonzero(inner)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), each[at])
+    scale = float(each[at].sum()) / max(len(at), 1)
+    theta = np.zeros(x.shape[1] + 4) if start is None else np.concatenate([start.weights, start.tie.ravel()])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         w, tie = theta[:-4], theta[-4:].reshape(2, 2)
@@ -173,24 +228,18 @@ def train(docs: DataFrame, text: str = "text", label: str = "quality", train_doc
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")).where((F.length("t") <= train_chars) & F.col("y").isin(0, 1))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    chosen = [rows.where((F.col("y") == y) & (draw < int((1 << 30) * min(1.0, train_docs / c)))).limit(2 * train_docs) for y, c in sorted(n.items())]
-    found = sorted((r["t"], r["y"]) for part in chosen for r in part.collect())
+    bound = F.lit(0)
+    for y, c in sorted(n.items()):
+        bound = F.when(F.col("y") == y, int((1 << 30) * min(1.0, train_docs / c))).otherwise(bound)
+    # Both labels are drawn in one pass; the limit only guards against a text that many rows repeat.
+    found = sorted((r["t"], r["y"]) for r in rows.where(draw < bound).limit(4 * train_docs).collect())
     return fit([t for t, _ in found], [y for _, y in found])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, some, size = [], [], 0
-        for t in batch.column("_text").to_pylist():
-            some.append(t or "")
-            size += len(some[-1])
-            if size >= CHUNK_CHARS:
-                out.append(model.qualities(some))
-                some, size = [], 0
-        if some:
-            out.append(model.qualities(some))
+    for batch in row_slices(batches):
+        score = model.qualities([t or "" for t in text_values(batch.column("_text"))])
         names = [c for c in batch.schema.names if c != "_text"]
-        score = np.concatenate([*out, np.empty(0)])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
 
@@ -201,6 +250,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[C
     long ones too. Repeated rows score alike. An empty table gives an empty result. A
     column of docs named score or predicted is replaced.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(*(keep or [docs[c] for c in docs.columns if c not in ("score", "predicted")]), F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "_text")
     return own.mapInArrow(lambda b: _scored(b, model), f"{schema}, score double, predicted int")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices, small_batches, text_values
+
 #: Sequences of ORDER letters; offsets of the letters with at most INSERTED others among them, and one between each two.
 ORDER = 4
 INSERTED = 2
@@ -162,7 +164,34 @@ class ToxicityModel:
         return np.column_stack([top, np.log(np.diff([*firsts, len(scores)])), np.ones(n)])
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.document_features(Characters(texts), len(texts)) @ np.array(self.curve), -30, 30)))
+        """A text of over CHUNK_CHARS characters is taken in parts, cut at white space: its highest piece and the sum of its pieces count."""
+        features, some, size = [], [], 0
+        owner = []
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                owner.append(i)
+                some.append(part)
+                size += len(part)
+                if size >= CHUNK_CHARS:
+                    features.append(self.document_features(Characters(some), len(some)))
+                    some, size = [], 0
+        if some:
+            features.append(self.document_features(Characters(some), len(some)))
+        if not features:
+            return np.empty(0)
+        x, first = np.concatenate(features), np.searchsorted(owner, np.arange(len(texts)))
+        x = np.column_stack([np.maximum.reduceat(x[:, 0], first), np.logaddexp.reduceat(x[:, 1], first), np.ones(len(texts))])
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve), -30, 30)))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of at most CHUNK_CHARS characters, cut at the last blank where there is one; an empty text is one part."""
+    a = 0
+    while len(text) - a > CHUNK_CHARS:
+        b = text.rfind(" ", a + 1, a + CHUNK_CHARS) + 1 or a + CHUNK_CHARS
+        yield text[a:b]
+        a = b
+    yield text[a:]
 
 
 def _landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
@@ -274,24 +303,18 @@ def train(docs: DataFrame, text: str = "text", label: str = "toxic", train_docs:
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")).where((F.length("t") <= train_chars) & F.col("y").isin(0, 1))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    chosen = [rows.where((F.col("y") == y) & (draw < int((1 << 30) * min(1.0, train_docs / c)))).limit(2 * train_docs) for y, c in sorted(n.items())]
-    found = sorted((r["t"], r["y"]) for part in chosen for r in part.collect())
+    bound = F.lit(0)
+    for y, c in sorted(n.items()):
+        bound = F.when(F.col("y") == y, int((1 << 30) * min(1.0, train_docs / c))).otherwise(bound)
+    # Both labels are drawn in one pass; the limit only guards against a text that many rows repeat.
+    found = sorted((r["t"], r["y"]) for r in rows.where(draw < bound).limit(4 * train_docs).collect())
     return fit([t for t, _ in found], [y for _, y in found])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, some, size = [], [], 0
-        for t in batch.column("_text").to_pylist():
-            some.append(t or "")
-            size += len(some[-1])
-            if size >= CHUNK_CHARS:
-                out.append(model.probabilities(some))
-                some, size = [], 0
-        if some:
-            out.append(model.probabilities(some))
+    for batch in row_slices(batches):
+        score = model.probabilities([t or "" for t in text_values(batch.column("_text"))])
         names = [c for c in batch.schema.names if c != "_text"]
-        score = np.concatenate([*out, np.empty(0)])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
 
@@ -303,6 +326,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
     empty table gives an empty result. A column of docs named score or predicted is
     replaced.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(*(keep or [docs[c] for c in docs.columns if c not in ("score", "predicted")]), F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "_text")
     return own.mapInArrow(lambda b: _scored(b, model), f"{schema}, score double, predicted int")

@@ -161,7 +161,8 @@ def judge_urls(
         said = _with_rules(named, rules).where("own is not null").groupBy("component").agg(
             F.min("own.verdict").alias("alias_verdict")  # allow sorts before block
         )
-        aliases = parts.join(broadcast_if(said, BROADCAST_ROWS), "component").select("node", "alias_verdict")
+        said = materialize(said, "said")
+        aliases = materialize(parts.join(broadcast_if(said, BROADCAST_ROWS), "component").select("node", "alias_verdict"), "verdicts")
         judged = judged.join(broadcast_if(aliases, BROADCAST_ROWS), "node", "left")
         verdict = F.coalesce("own.verdict", "alias_verdict", no_rule)
     return judged.select(F.col("key").alias(key), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))

@@ -24,3 +24,20 @@ def docs_more():
     from pyspark.sql import functions as F
 
     return F.concat(F.lit("m"), F.col("slot"))
+
+
+def test_law_of_equal_bytes_with_hot_texts(spark):
+    """A third of all rows are one text, another third have no key; shards stay within one percent of equal sizes, and gapless."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "hot text " * 12) for i in range(2000)] + [(None, "n" * rng.randint(0, 200)) for _ in range(2000)] + [(i, "é" * rng.randint(0, 300)) for i in range(5000, 7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_by_bytes(docs, 8).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    mean = sum(sizes.values()) / 8
+    assert len(got) == len(rows) and set(sizes) == set(range(8)) and max(abs(s - mean) for s in sizes.values()) < 0.01 * mean
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
