@@ -34,8 +34,10 @@ SHORT_LIST = 64
 #: Bits of the table of frequent shingles, a bounded 8 MB. With more than an eighth as many, only the more frequent ones
 #: count as such; two shingles may share a bit. Both change the order only, and any order is exact.
 ORDER_BITS = 26
-#: Shingles that a task gathers before it sends them on; a bucket is meant to hold four times as many, or as many postings.
+#: Shingles that a task gathers before it sends them on; a bucket is meant to hold four times as many, or half as many postings.
 FLUSH = 1_000_000
+#: Pairs of a bucket that are in memory at a time, or those of one list.
+PAIRS = 500_000
 #: Classes and shingles of a block; families beyond it are split.
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 1_000_000
@@ -94,47 +96,65 @@ def _name(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by their first, second, third and fourth bytes, compressed: small numbers take little room."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    planes = pa.decompress(packed[4:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+def _spans(where: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal numbers."""
+    cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]]) if len(where) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
 def _slot(names: np.ndarray, order_bits: int) -> np.ndarray:
     return (mix(names) >> np.uint64(64 - order_bits)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, flush: int) -> Iterator[pa.RecordBatch]:
-    """bucket, names, counts: the shingles of a flush, each once with the number of its sets."""
+def _counts(batches: Iterator[pa.RecordBatch], low_bits: int, bits: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """bucket, steps, counts: the shingles of a flush, each once, as steps from one to the next, with the number of their sets."""
     for _, _, hashes in _flushes(batches, flush):
-        hashes = np.sort(hashes)
         names, counts = np.unique(_name(hashes, bits), return_counts=True)
-        where = _bucket(names << np.uint64(64 - bits), buckets)
-        cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]])
-        low = (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-        columns = [pa.array(where[cuts[:-1]].astype(np.int64)), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())]
-        high = pa.array([(names[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() for a, b in spans], pa.binary())
-        yield pa.RecordBatch.from_arrays([columns[0], high, columns[1], columns[2]], ["bucket", "high", "low", "counts"])
+        where, low = names >> np.uint64(low_bits), names & np.uint64((1 << low_bits) - 1)
+        spans = _spans(where)
+        columns = [
+            pa.array([int(where[a]) for a, _ in spans], pa.int64()), pa.array([_packed(np.diff(low[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+            pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "steps", "counts"])
 
 
-def _frequent(table: pa.Table, short: int, order_bits: int) -> pa.Table:
+def _frequent(table: pa.Table, short: int, order_bits: int, low_bits: int) -> pa.Table:
     """slot, n of the shingles of a bucket that are in more than ``short`` sets."""
-    part = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
-    names = part("high", np.uint16).astype(np.uint64) << np.uint64(32) | part("low", np.uint32).astype(np.uint64)
-    counts = part("counts", np.uint32)
-    order = np.argsort(names, kind="stable")
-    names, starts = np.unique(names[order], return_index=True)
+    low = np.concatenate([np.cumsum(_unpacked(x.as_py()).astype(np.uint64)) for x in table.column("steps")])
+    counts = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")])
+    order = np.argsort(low, kind="stable")
+    low, starts = np.unique(low[order], return_index=True)
     totals = np.add.reduceat(counts[order].astype(np.int64), starts)
     often = totals > short
-    return pa.table({"slot": pa.array(_slot(names[often], order_bits)), "n": pa.array(totals[often])})
+    names = low[often] | np.uint64(table.column("bucket")[0].as_py() << low_bits)
+    return pa.table({"slot": pa.array(_slot(names, order_bits)), "n": pa.array(totals[often])})
 
 
-def _buckets(size: int) -> int:
+def _buckets(size: int, each: int) -> int:
     """A power of two; buckets are tasks of their own, so their number grows with the input and their size does not."""
-    return max(16, 1 << math.ceil(math.log2(size / (4 * FLUSH) + 1)))
+    return max(16, 1 << math.ceil(math.log2(size / each + 1)))
 
 
 def _order(rows: DataFrame, shingles: int) -> tuple[bytes, int]:
-    """The table of frequent shingles, a bit each, and the bits of a shingle that it looks at."""
-    buckets = _buckets(shingles)
-    bits, flush, short, order_bits = 48, FLUSH, SHORT_LIST, ORDER_BITS
-    blobs = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(lambda b: _counts(b, buckets, bits, flush), "bucket long, high binary, low binary, counts binary")
-    often = materialize(blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _frequent(t, short, order_bits), "slot long, n long"), "frequent")
+    """The table of frequent shingles, a bit each, and the bits of a shingle that it looks at: so many that hardly any two are one."""
+    buckets = _buckets(shingles, 4 * FLUSH)
+    bits, flush, short, order_bits = max(36, math.ceil(math.log2(shingles + 1)) + 9), FLUSH, SHORT_LIST, ORDER_BITS
+    low_bits = bits - (buckets.bit_length() - 1)
+    blobs = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(lambda b: _counts(b, low_bits, bits, flush), "bucket long, steps binary, counts binary")
+    often = materialize(blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _frequent(t, short, order_bits, low_bits), "slot long, n long"), "frequent")
     level = F.floor(F.log2(F.col("n") / short)).cast("int")
     sizes = {r["level"]: r["count"] for r in often.groupBy(level.alias("level")).count().collect()}  # at most 64 rows
     at = 0
@@ -166,15 +186,16 @@ def _prefixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int,
 
 
 def _rare_postings(prefixes: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket, postings: packed (token, cls, n, s) of the rare shingles of prefixes; s is the number of them in the prefix."""
+    """bucket, tokens, classes, sizes, rares: the rare shingles of prefixes, with their sets, these sets' sizes and the number of rare shingles in their prefixes."""
     for cls, n, hashes, owner, rare, s, _ in prefixes:
         rare = rare[np.argsort(hashes[rare], kind="stable")]
-        where = _bucket(hashes[rare], buckets)
-        cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]]) if len(where) else np.zeros(1, np.int64)
-        packed = np.empty(len(rare), POSTING)
-        packed["token"], packed["cls"], packed["n"], packed["s"] = hashes[rare], cls[owner[rare]], n[owner[rare]], s[owner[rare]]
-        blobs = [packed[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "postings"])
+        where, own, token = _bucket(hashes[rare], buckets), owner[rare], hashes[rare]
+        spans = _spans(where)
+        columns = [
+            pa.array([int(where[a]) for a, _ in spans], pa.int64()), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([cls[own[a:b]].tobytes() for a, b in spans], pa.binary()),
+            pa.array([_packed(n[own[a:b]]) for a, b in spans], pa.binary()), pa.array([_packed(s[own[a:b]]) for a, b in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "classes", "sizes", "rares"])
 
 
 def _frequent_postings(prefixes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -183,40 +204,52 @@ def _frequent_postings(prefixes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(cls[owner[often]])], ["token", "cls"])
 
 
-POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("s", "<i4")])
+def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
+    """a, b, c, need: pairs of classes that share c rare shingles of a bucket and need that many in all; of a longer list, classes and its first one.
 
+    Lists are taken some at a time, so few pairs are in memory; a pair may come more than once, and is summed up later.
+    """
+    raw = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+    token, cls = raw("tokens", np.uint64), raw("classes", np.int64)
+    n, s = (np.concatenate([_unpacked(x.as_py()) for x in table.column(c)]).astype(np.int32) for c in ("sizes", "rares"))
+    order = np.lexsort([cls, token])
+    token, cls = token[order], cls[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
+    token, cls, n, s = token[new], cls[new], n[order][new], s[order][new]
+    starts = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+    lengths = np.diff(np.concatenate([starts, [len(token)]]))
+    del token, order, new
+    long_ones = np.repeat(lengths, lengths) > short
+    heads, rest = cls[np.repeat(starts, lengths)[long_ones]], cls[long_ones]
+    out = [(heads, rest, np.ones(len(rest), np.int64), np.ones(len(rest), np.int64))]
+    keep = (lengths > 1) & (lengths <= short)
+    starts, lengths = starts[keep], lengths[keep]
+    part = np.cumsum(lengths * (lengths - 1) // 2) // PAIRS
+    for a, b in _spans(part):
+        out.append(_pairs(starts[a:b], lengths[a:b], cls, n, s, percent, short))
+    columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
+    give_back_memory()
+    return pa.table(dict(zip(("a", "b", "c", "need"), columns)))
 
-def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
-    """a, b, c, need: pairs of classes that share c rare shingles of a bucket and need that many in all; of a longer list, classes and its first one."""
-    p = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table.column("postings")])
-    p = p[np.lexsort([p["cls"], p["token"]])]
-    p = p[np.concatenate([[True], (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])])]
-    starts = np.nonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))[0]
-    lengths = np.diff(np.concatenate([starts, [len(p)]]))
+
+def _pairs(starts: np.ndarray, lengths: np.ndarray, cls: np.ndarray, n: np.ndarray, s: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, ...]:
     found = []
-    for gap in range(1, short):  # members of short lists that stand ``gap`` apart
-        some = starts[(lengths > gap) & (lengths <= short)]
+    for gap in range(1, short):  # members that stand ``gap`` apart
+        some, span = starts[lengths > gap], lengths[lengths > gap] - gap
         if not len(some):
             break
-        span = lengths[(lengths > gap) & (lengths <= short)] - gap
         i = np.repeat(some - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+        x, y = n[i].astype(np.int64), n[i + gap].astype(np.int64)
+        i = i[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
         found.append(np.stack([i, i + gap]))
-    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    x, y = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
-    fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-    i, j, x, y = i[fits], j[fits], x[fits], y[fits]
-    overlap = -(-percent * (x + y) // (100 + percent))
-    need = np.maximum(1, overlap - np.maximum(x - p["s"][i], y - p["s"][j]))
-    a, b = p["cls"][i], p["cls"][j]
+    i, j = np.concatenate(found, axis=1)
+    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    need = np.maximum(1, -(-percent * (x + y) // (100 + percent)) - np.maximum(x - s[i], y - s[j]))
+    a, b = cls[i], cls[j]
     order = np.lexsort([b, a])
     a, b, need = a[order], b[order], need[order]
     first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0] if len(a) else np.zeros(0, np.int64)
-    c = np.diff(np.concatenate([first, [len(a)]]))
-    long_ones = np.repeat(lengths, lengths) > short
-    heads, rest = p["cls"][np.repeat(starts, lengths)[long_ones]], p["cls"][long_ones]
-    cat = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
-    ones = np.ones(len(rest), np.int64)
-    return pa.table({"a": cat(a[first], heads), "b": cat(b[first], rest), "c": cat(c, ones), "need": cat(need[first], ones)})
+    return a[first], b[first], np.diff(np.concatenate([first, [len(a)]])), need[first]
 
 
 def t_occurrence_links(queries: list[np.ndarray], index: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -285,11 +318,11 @@ def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
     bitmap, bits = _order(rows, shingles)
     order_bits, flush, short = ORDER_BITS, FLUSH, SHORT_LIST
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
-    buckets = _buckets(shingles // 4)
+    buckets = _buckets(shingles // 4, FLUSH // 2)
     sets = rows.where("cls is not null").select("cls", "n", "hashes")
     prefixes = lambda b: _prefixes(b, np.frombuffer(shared.value, np.uint8), bits, percent, order_bits, flush)
     # Prefixes are worked out twice, since the rare postings are the larger part and need not be written.
-    rare = sets.mapInArrow(lambda b: _rare_postings(prefixes(b), buckets), "bucket long, postings binary").repartition(buckets, "bucket")
+    rare = sets.mapInArrow(lambda b: _rare_postings(prefixes(b), buckets), "bucket long, tokens binary, classes binary, sizes binary, rares binary").repartition(buckets, "bucket")
     met = rare.groupBy("bucket").applyInArrow(lambda t: _meetings(t, percent, short), "a long, b long, c long, need long")
     enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where((F.col("c") >= F.col("need")) & (F.col("a") != F.col("b"))).select("a", "b")
     often = materialize(sets.mapInArrow(lambda b: _frequent_postings(prefixes(b)), "token long, cls long").distinct(), "frequent")
