@@ -44,12 +44,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of texts in an Arrow batch, where the session sets no bound itself, and in a slice of one.
 BATCH_BYTES = SLICE_BYTES = 4 << 20
+#: Bytes of a row group of an intermediate table, which its writer holds in memory.
+BLOCK_BYTES = 32 << 20
 
 
 def row_slices(batches: Iterator, rows: int = 500) -> Iterator:
@@ -80,11 +82,11 @@ def text_values(column) -> Iterator:  # noqa: ANN001
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts reach Python in Arrow batches of at most 4 MB, unless the session sets a bound itself: long texts
-    would otherwise fill batches of 64 MB in the JVM's direct memory and in Python at once."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if bound not in spark.conf.getAll:
-        spark.conf.set(bound, str(BATCH_BYTES))
+    """Texts reach Python in Arrow batches of at most 4 MB and are read 1,024 rows at a time, unless the session says otherwise:
+    long texts would fill batches of 64 MB in the JVM's direct memory and in Python at once, and large arrays in its heap."""
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", 1024)):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, str(value))
 
 
 def give_back_memory() -> None:

@@ -34,10 +34,10 @@ SHORT_LIST = 64
 #: Bits of the table of frequent shingles, a bounded 8 MB. With more than an eighth as many, only the more frequent ones
 #: count as such; two shingles may share a bit. Both change the order only, and any order is exact.
 ORDER_BITS = 26
-#: Shingles that a task gathers before it sends them on; a bucket is meant to hold four times as many, or half as many postings.
-FLUSH = 1_000_000
+#: Shingles that a task gathers before it sends them on; a bucket is meant to hold eight times as many, or as many postings.
+FLUSH = 500_000
 #: Pairs of a bucket that are in memory at a time, or those of one list.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Classes and shingles of a block; families beyond it are split.
 BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 1_000_000
@@ -150,7 +150,7 @@ def _buckets(size: int, each: int) -> int:
 
 def _order(rows: DataFrame, shingles: int) -> tuple[bytes, int]:
     """The table of frequent shingles, a bit each, and the bits of a shingle that it looks at: so many that hardly any two are one."""
-    buckets = _buckets(shingles, 4 * FLUSH)
+    buckets = _buckets(shingles, 8 * FLUSH)
     bits, flush, short, order_bits = max(36, math.ceil(math.log2(shingles + 1)) + 9), FLUSH, SHORT_LIST, ORDER_BITS
     low_bits = bits - (buckets.bit_length() - 1)
     blobs = rows.where("cls is not null").select("cls", "n", "hashes").mapInArrow(lambda b: _counts(b, low_bits, bits, flush), "bucket long, steps binary, counts binary")
@@ -310,6 +310,9 @@ def _search_task(table: pa.Table, percent: int) -> pa.Table:
     first = sum(own[c][0] == 0 for c in names)
     roots = _roots(len(names), t_occurrence_links(sets[:first], sets, percent))
     pairs = [(names[i], names[r]) for i, r in enumerate(roots) if i != r]
+    del own, sets, table
+    if len(names) > BLOCK_CLASSES:
+        give_back_memory()
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
@@ -318,7 +321,7 @@ def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
     bitmap, bits = _order(rows, shingles)
     order_bits, flush, short = ORDER_BITS, FLUSH, SHORT_LIST
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
-    buckets = _buckets(shingles // 4, FLUSH // 2)
+    buckets = _buckets(shingles // 4, FLUSH)
     sets = rows.where("cls is not null").select("cls", "n", "hashes")
     prefixes = lambda b: _prefixes(b, np.frombuffer(shared.value, np.uint8), bits, percent, order_bits, flush)
     # Prefixes are worked out twice, since the rare postings are the larger part and need not be written.

@@ -26,7 +26,7 @@ SEQUENCE = 4096
 END_ID = 2
 #: Bytes of text tokenised at once, distinct chunks remembered by a task, and the longest chunk remembered.
 CHUNK_BYTES = 1 << 20
-MEMORY_CHUNKS = 200_000
+MEMORY_CHUNKS = 100_000
 MEMORY_BYTES = 48
 SEPARATOR = "\x01"
 #: What can follow a word as a run of its own; an apostrophe can begin a contraction.
@@ -166,7 +166,7 @@ def _groups(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
 
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, longest: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tok = ChunkTokenizer(path)
-    for batch in row_slices(batches):
+    for batch in row_slices(batches, 200):
         for keys, texts in _groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids, counts = tok.encode([t or "" for t in texts])
             doc, start, length, crc, total, own = [], [], [], [], [], []
