@@ -1,14 +1,17 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 counts how many rows fall on each slot of a Bloom filter (two slots a row,
-counts combined on the map side) and keeps, as bitmaps, the slots that more than
-one row reached. Pass 2 tests every row against the bitmaps. A row with a slot of
-its own is certainly unique and passes straight through; only the others, the
-possibly repeated ones, are shuffled and compared exactly, by SHA-256.
-
-The bitmaps are broadcast. Their size is at most ``max_filter_bits`` / 8 bytes,
-whatever the input; with more rows than that suits, more of them are shuffled and
-the result stays the same.
+Pass 1 counts how many rows fall on each slot of a filter of 2^40 slots. A row sends
+one slot number, counts are combined on the map side, and the slots are ranged over
+the tasks, so this filter is nowhere whole. Only the slots that more than one row
+reached go on, into the Bloom filter of pass 2: bitmaps, broadcast, two slots each.
+Pass 2 tests every row against them. A row that is not in the filter is certainly
+unique and passes straight through; only the others, the possibly repeated ones, are
+shuffled and compared exactly, by SHA-256.
+
+The bitmaps have 16 bits for each repeated slot and at most ``max_filter_bits`` / 8
+bytes, whatever the input. With more repeated texts than that suits, more unique rows
+are shuffled and the result stays the same: for d repeated texts in b bits a share of
+(1 - exp(-2 d / b))^2. A cluster with more room can give up to 2^32 bits.
 """
 
 from __future__ import annotations
@@ -20,12 +23,19 @@ from .common import ascii_lower, materialize
 
 #: 32 MB of bitmaps at most.
 MAX_FILTER_BITS = 1 << 28
-BITS_PER_ROW = 16
+BITS_PER_SLOT = 16
+#: Pass 1 has two to this many slots.
+FIRST_FILTER_BITS = 40
 #: A group with at least 1/HOT_SHARE of all rows is joined by broadcast; there can be HOT_SHARE of them at most.
 HOT_SHARE = 1000
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
+def _first_slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - FIRST_FILTER_BITS)
+
+
+def _slots(slot: Column, bits: int) -> list[Column]:
+    h = F.xxhash64(slot)
     return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
 
 
@@ -36,18 +46,22 @@ def _bit(bitmap: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte.cast("bigint"), F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps (bucket, bitmap) of the filter slots that two or more rows of ``hashes`` (column h) reached."""
-    slots = hashes.select(F.explode(F.array_distinct(F.array(*_slots(F.col("h"), bits)))).alias("slot"))
-    twice = slots.groupBy("slot").count().where("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bitmap")
+def repeated_slots(hashes: DataFrame) -> DataFrame:
+    """slot: those of pass 1 that two or more rows of ``hashes`` (column h) reached."""
+    return hashes.groupBy(_first_slot(F.col("h")).alias("slot")).count().where("count > 1").select("slot")
+
+
+def bloom_filter(slots: DataFrame, bits: int) -> DataFrame:
+    """Bitmaps (bucket, bitmap) of the filter that holds ``slots``; they are combined on the map side."""
+    bit = slots.select(F.explode(F.array_distinct(F.array(*_slots(F.col("slot"), bits)))).alias("bit"))
+    return bit.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap")
     )
 
 
 def mark_possibly_repeated(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     """``rows`` (with column h) plus boolean ``maybe``; no row moves."""
-    for i, slot in enumerate(_slots(F.col("h"), bits), 1):
+    for i, slot in enumerate(_slots(_first_slot(F.col("h")), bits), 1):
         side = bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}"))
         rows = rows.withColumn(f"_slot{i}", slot).join(
             F.broadcast(side), F.bitmap_bucket_number(F.col(f"_slot{i}") + 1) == F.col(f"_bucket{i}"), "left"
@@ -56,8 +70,15 @@ def mark_possibly_repeated(rows: DataFrame, bitmaps: DataFrame, bits: int) -> Da
     return rows.withColumn("maybe", maybe).drop(*(f"_{x}{i}" for x in ("slot", "bucket", "bitmap") for i in (1, 2)))
 
 
-def filter_bits(rows: int, max_filter_bits: int = MAX_FILTER_BITS) -> int:
-    return min(max_filter_bits, 1 << max(15, (max(rows, 1) * BITS_PER_ROW - 1).bit_length()))
+def filter_bits(slots: int, max_filter_bits: int = MAX_FILTER_BITS) -> int:
+    return min(max_filter_bits, 1 << max(15, (max(slots, 1) * BITS_PER_SLOT - 1).bit_length()))
+
+
+def two_passes(hashes: DataFrame, max_filter_bits: int) -> tuple[DataFrame, int]:
+    """The bitmaps of pass 2 for the written table ``hashes``, and their number of bits."""
+    slots = materialize(repeated_slots(hashes), "slots")
+    bits = filter_bits(slots.count(), max_filter_bits)
+    return materialize(bloom_filter(slots, bits), "bitmaps"), bits
 
 
 def _groups(maybe: DataFrame) -> DataFrame:
@@ -93,8 +114,7 @@ def duplicate_report(docs: DataFrame, text: str = "text", key: str = "doc_id", m
     """
     d = materialize(_digest(docs, text, key), "digest")
     n = d.count()
-    bits = filter_bits(n, max_filter_bits)
-    bitmaps = repeated_slots(d, bits)
+    bitmaps, bits = two_passes(d, max_filter_bits)
     marked = mark_possibly_repeated(d, bitmaps, bits)
     maybe = marked.where("maybe")
     compared = _join_groups(maybe, _groups(maybe), n).select(
@@ -107,11 +127,12 @@ def duplicate_report(docs: DataFrame, text: str = "text", key: str = "doc_id", m
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rules as in duplicate_report."""
+    """The rows of ``docs`` that stay, with all their columns; rules as in duplicate_report.
+
+    Of rows with equal text and key, the one whose other columns come last as JSON stays."""
     d = materialize(_digest(docs, text, key), "digest")
     n = d.count()
-    bits = filter_bits(n, max_filter_bits)
-    bitmaps = materialize(repeated_slots(d, bits), "bitmaps")
+    bitmaps, bits = two_passes(d, max_filter_bits)
     marked = mark_possibly_repeated(d, bitmaps, bits).where("maybe")
     groups = materialize(_groups(marked).where("group_size > 1"), "groups")
     norm = ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
@@ -121,6 +142,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_fi
     maybe = row.where("maybe").drop("maybe", "h")
     through = row.where(~F.col("maybe")).select("row")
     in_group = _join_groups(maybe, groups, n).where(F.col("id").eqNullSafe(F.col("keep_id")))
-    one = in_group.where("ties = 1").select("row").union(in_group.where("ties > 1").dropDuplicates(["sha"]).select("row"))
+    one = in_group.where("ties = 1").select("row").union(in_group.where("ties > 1").groupBy("sha").agg(F.max_by("row", F.to_json("row")).alias("row")).select("row"))
     alone = maybe.join(groups.select("sha"), "sha", "left_anti").select("row")
     return through.union(one).union(alone).select("row.*")

@@ -22,6 +22,24 @@ def test_exact_dedup(docs):
     assert sum(r["kept"] for r in rows if r["doc_id"] == 4) == 1
     assert sorted((r["doc_id"] or 0) for r in exact_dedup.exact_dedup(docs).collect()) == [0, 2, 4, 5, 6]
     assert exact_dedup.duplicate_report(docs.limit(0)).count() == 0
+    twins = docs.union(docs.selectExpr("doc_id", "text", "score + 3"))
+    assert {r["doc_id"]: r["score"] for r in exact_dedup.exact_dedup(twins).collect()}[4] == 7
+
+
+def test_a_full_filter_changes_no_result(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: max(j for j in range(1000) if j % 700 == i % 700) for i in range(1000)}
+    for bits in (1 << 8, 1 << 28):
+        got = exact_dedup.duplicate_report(docs, max_filter_bits=bits).collect()
+        assert {r["doc_id"]: r["keep_id"] for r in got} == want and all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+
+
+def test_only_repeated_texts_are_in_the_filter(spark):
+    hashes = spark.range(100000).selectExpr("xxhash64(id % 99000) AS h")
+    bitmaps, bits = exact_dedup.two_passes(exact_dedup.materialize(hashes, "h"), exact_dedup.MAX_FILTER_BITS)
+    maybe = exact_dedup.mark_possibly_repeated(hashes, bitmaps, bits).where("maybe").count()
+    assert 2000 <= maybe < 2000 + 0.02 * 98000
 
 
 def test_shards_are_gapless(docs):
