@@ -113,27 +113,41 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+#: A node with at least 1/HUB_SHARE of all edges is a hub. An edge counts for its two ends, so there can be twice as many.
+HUB_SHARE = 1000
+
+
+def _join_lowest(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``edges`` of n with the minimum m of their node a; the few hubs' minima are broadcast, so that no task gets a hub's edges."""
+    hub = F.col("degree") * HUB_SHARE >= n
+    hubs = low.where(hub).select("a", "m")
+    rest = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.where(~hub).select("a", "m"), "a")
+    return edges.join(F.broadcast(hubs), "a").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for each node of an undirected graph.
 
     ``edges``: columns a, b of one orderable type. Returns node, component.
     Alternates the large-star and small-star steps of Kiveris et al. (2014):
     each step is one map-side combined minimum and one join, on a written table,
-    until a round changes nothing. The node sets of hubs are never gathered.
+    until a round changes nothing. The node sets of hubs are never gathered, and
+    their edges stay where they are.
     Empty input gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     for _ in range(max_rounds):
+        n = e.count()
         # Large star: every larger neighbour of a node points to the node's minimum.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+        large = _join_lowest(both.where("b > a"), low, n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "edges")
         # Small star: a node and its smaller neighbours point to their minimum.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
         small = (
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            _join_lowest(large, low, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).distinct()
         )
         new = materialize(small, "edges")
