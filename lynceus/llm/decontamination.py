@@ -63,8 +63,8 @@ class TrainingIndex:
         self.terms = materialize(terms, "terms")
         self.postings = build_postings(docs, self.terms, text, key)
         self.key = key
-        frequency = self.postings.where("term is not null").groupBy("term").count()
-        placed = distinct.join(self.terms, "word").join(frequency, "term", "left").select("win", "size", "offset", "term", F.coalesce("count", F.lit(0)).alias("df"))
+        frequency = materialize(self.postings.where("term is not null").groupBy("term").count(), "frequency")
+        placed = distinct.join(broadcast_if(self.terms, BROADCAST_ROWS), "word").join(broadcast_if(frequency, BROADCAST_ROWS), "term", "left").select("win", "size", "offset", "term", F.coalesce("count", F.lit(0)).alias("df"))
         self.placed = materialize(placed, "placed")
 
     def _from_rarest(self) -> DataFrame:
