@@ -228,9 +228,12 @@ def train(docs: DataFrame, text: str = "text", label: str = "quality", train_doc
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")).where((F.length("t") <= train_chars) & F.col("y").isin(0, 1))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    bounds = {y: int((1 << 30) * min(1.0, train_docs / c)) for y, c in sorted(n.items())}
     bound = F.lit(0)
-    for y, c in sorted(n.items()):
-        bound = F.when(F.col("y") == y, int((1 << 30) * min(1.0, train_docs / c))).otherwise(bound)
+    for y, b in bounds.items():
+        bound = F.when(F.col("y") == y, b).otherwise(bound)
+    # The largest bound asks for no label, so it is tested before the labels are joined and few texts are shuffled.
+    rows = rows.where(draw < max(bounds.values(), default=0))
     # Both labels are drawn in one pass; the limit only guards against a text that many rows repeat.
     found = sorted((r["t"], r["y"]) for r in rows.where(draw < bound).limit(4 * train_docs).collect())
     return fit([t for t, _ in found], [y for _, y in found])
