@@ -48,6 +48,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Deletes the folder of a table that ``materialize`` wrote and nothing reads any more."""
+    files = df.inputFiles() if df is not None else []
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 #: Bytes of texts in an Arrow batch, where the session sets no bound itself, and in a slice of one.
 BATCH_BYTES = SLICE_BYTES = 4 << 20
 #: Bytes of a row group of an intermediate table, which its writer holds in memory.

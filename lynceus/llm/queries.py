@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, substring_dedup, toxicity, url_filter
+from . import alignment, decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, substring_dedup, toxicity, url_filter, vector_codes
 from .common import table
 
 QUERIES: dict = {}
@@ -160,3 +160,17 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.VectorCodes(table(spark, sf_dir, "embeddings")).report()
+
+
+@_query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return alignment.Alignment(table(spark, sf_dir, "documents"), *paths).documents.select(*columns)
