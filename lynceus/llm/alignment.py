@@ -29,7 +29,7 @@ from .packing import BYTE_LETTERS
 
 #: Both tokenizers begin a new token at a single space between two visible characters, so texts are cut there and pieces seen before are remembered.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 400_000
 MEMORY_CHARS = 48
 #: Characters of new pieces that are tokenised at once.
 RUN_CHARS = 1 << 15
@@ -57,6 +57,8 @@ class Vocabularies:
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.pairs = self._pairs()
         self.pair_b = self.pairs % len(self.bytes_b)
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.signed = [n + sign for sign in ",|;" for n in self.names]
 
     def _bytes_b(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -90,16 +92,17 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return parent
         a, b = a[apart], b[apart]
         np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (up := parent[parent]).tolist() != parent.tolist():
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
 
 
 def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The component of each A and of each B token, numbered in order; the tokens tile the same bytes and are given by their ends."""
-    marks = np.union1d(ends_a, ends_b)
+    marks = np.sort(np.concatenate([ends_a, ends_b]))
+    marks = marks[np.append(True, marks[1:] != marks[:-1])]
     starts = np.concatenate([[0], marks[:-1]])  # each stretch between marks lies in one token of A and one of B: an edge
     root = union_find(len(ends_a) + len(ends_b), np.searchsorted(ends_a, starts, "right"), len(ends_a) + np.searchsorted(ends_b, starts, "right"))
-    number = np.unique(root, return_inverse=True)[1]
+    number = (np.cumsum(root == np.arange(len(root))) - 1)[root]  # a root is its component's first token of A
     return number[: len(ends_a)], number[len(ends_a) :]
 
 
@@ -113,21 +116,24 @@ class Aligner:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.text: list[str] = []
-        self.n: list[tuple[int, int, int, int, bool]] = []  # tokens of A, of B, groups, links, whether the bytes are those of the text
-        self.flat: list[np.ndarray] = []
+        self.table = [np.empty((0, 5), np.int64)]  # tokens of A, of B, groups, links, whether the bytes are those of the text
+        self.flat = [np.empty(0, np.int64)]
         self.long = False
 
+    def _keep(self, pieces: list[str], groups: list[str], table: np.ndarray, pairs: np.ndarray) -> bool:
+        self.code.update(zip(pieces, range(len(self.code), len(self.code) + len(pieces))))
+        self.text += groups
+        self.table.append(table)
+        self.flat.append(pairs)
+        return True
+
     def _add(self, pieces: list[str]) -> bool:
         """Adds pieces tokenised in one go; false if they turn out not to be apart, which a single one always is."""
         text = " " + " ".join(pieces)
         raw = text.encode()
         a, b = self.v.a.encode(text, add_special_tokens=False).ids, self.v.b.encode(text[1:])
-        spelt = b"".join(map(self.v.bytes_a.__getitem__, a)) == raw == b"".join(map(self.v.bytes_b.__getitem__, b))
-        if not spelt:
-            if len(pieces) == 1:
-                self._keep(pieces[0], "", (0, 0, 0, 0, False))
-                self.flat.append(np.empty(0, np.int64))
-            return len(pieces) == 1
+        if not b"".join(map(self.v.bytes_a.__getitem__, a)) == raw == b"".join(map(self.v.bytes_b.__getitem__, b)):
+            return len(pieces) == 1 and self._keep(pieces, [""], np.zeros((1, 5), np.int64), np.empty(0, np.int64))
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = np.cumsum(self.v.size_a[a]), np.cumsum(self.v.size_b[b])
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
@@ -135,27 +141,18 @@ class Aligner:
         if (ends_a[in_a] != ends).any() or (ends_b[in_b] != ends).any():
             return False
         group_a, group_b = components(ends_a, ends_b)
-        n = int(group_a[-1]) + 1
-        from_a, from_b = (np.searchsorted(g, np.arange(n + 1)).tolist() for g in (group_a, group_b))
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        names = [f"{','.join(name_a[from_a[g] : from_a[g + 1]])}|{','.join(name_b[from_b[g] : from_b[g + 1]])}" for g in range(n)]
+        # A group's ids of A, then those of B, each with the sign that follows it.
+        last = lambda g: np.append(g[1:] != g[:-1], True)
+        sign = np.concatenate([np.where(last(group_a), len(self.v.names), 0) + a, np.where(last(group_b), 2 * len(self.v.names), 0) + b])
+        spelt = list(map(self.v.signed.__getitem__, sign[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()))
+        to = in_a + in_b + 2
+        groups = ["".join(spelt[x:y]) for x, y in zip([0, *to[:-1].tolist()], to.tolist())]
         # Members of a component that end together are linked.
         other = np.searchsorted(ends_b, ends_a)
         linked = (ends_b[other] == ends_a) & (group_b[other] == group_a)
         pair = np.searchsorted(self.v.pairs, a[linked] * len(self.v.bytes_b) + b[other[linked]])
-        links_to = np.searchsorted(ends_a[linked], ends, "right")
-        done = (0, 0, 0, 0)
-        for i, piece in enumerate(pieces):
-            now = (int(in_a[i]) + 1, int(in_b[i]) + 1, int(group_a[in_a[i]]) + 1, int(links_to[i]))
-            self._keep(piece, ";".join(names[done[2] : now[2]]), (*(y - x for x, y in zip(done, now)), True))
-            done = now
-        self.flat.append(pair)
-        return True
-
-    def _keep(self, piece: str, groups: str, n: tuple) -> None:
-        self.code[piece] = len(self.text)
-        self.text.append(groups)
-        self.n.append(n)
+        reached = np.stack([in_a + 1, in_b + 1, group_a[in_a] + 1, np.searchsorted(ends_a[linked], ends, "right")], 1)
+        return self._keep(pieces, groups, np.column_stack([np.diff(reached, axis=0, prepend=0), np.ones(len(pieces), np.int64)]), pair)
 
     def _learn(self, pieces: list[str]) -> None:
         run, size = [], 0
@@ -192,22 +189,22 @@ class Aligner:
             self.long |= any(len(p) > MEMORY_CHARS for p in new)
             self._learn(new)
             code[missing] = [self.code[pieces[i]] for i in missing]
-            self.table = np.array(self.n, np.int64).reshape(-1, 5)
-            self.flat = [np.concatenate(self.flat)]
+        self.table, self.flat = [np.concatenate(self.table)], [np.concatenate(self.flat)]
+        table = self.table[0]
         ends = np.cumsum(counts)
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
         if not len(pieces):
             return np.zeros((len(texts), 4), np.int64), [""] * len(texts), np.empty(0, np.int64)
-        fine = total(1 - self.table[code, 4]) == 0
+        fine = total(1 - table[code, 4]) == 0
         code_fine = np.repeat(fine, counts)
-        own = self.table[code, :4] * code_fine[:, None]
+        own = table[code, :4] * code_fine[:, None]
         n = np.stack([total(own[:, c]) for c in range(4)], 1)
         listed, groups, at = code.tolist(), [], 0
         for k, ok in zip(counts, fine.tolist()):
-            groups.append(";".join(map(self.text.__getitem__, listed[at : at + k])) if ok else "")
+            groups.append("".join(map(self.text.__getitem__, listed[at : at + k]))[:-1] if ok else "")
             at += k
         sizes = own[:, 3]
-        starts = (np.cumsum(self.table[:, 3]) - self.table[:, 3])[code]
+        starts = (np.cumsum(table[:, 3]) - table[:, 3])[code]
         to = np.cumsum(sizes)
         links = self.flat[0][np.repeat(starts - (to - sizes), sizes) + np.arange(int(to[-1]))]
         if self.long:  # long pieces are not worth their memory
