@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, exact_dedup, jaccard_join, language_id, packing, quality_crf, sharding, substring_dedup, toxicity, url_filter, vector_codes
+from . import alignment, decontamination, exact_dedup, jaccard_join, language_id, packing, pii, quality_crf, sharding, substring_dedup, toxicity, url_filter, vector_codes
 from .common import table
 
 QUERIES: dict = {}
@@ -162,6 +162,16 @@ def op9_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), held_out(5, 0))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 @_query
 def op12_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.VectorCodes(table(spark, sf_dir, "embeddings")).report()
