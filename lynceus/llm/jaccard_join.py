@@ -205,7 +205,8 @@ def _frequent_postings(prefixes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[p
 
 
 def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
-    """a, b, c, need: pairs of classes that share c rare shingles of a bucket and need that many in all; of a longer list, classes and its first one.
+    """a, b, c, need: pairs of classes that share c rare shingles of a bucket and need that many in all; of a longer list, its first class and
+    each other one, tied whatever they share otherwise (c and need are 0).
 
     Lists are taken some at a time, so few pairs are in memory; a pair may come more than once, and is summed up later.
     """
@@ -221,7 +222,7 @@ def _meetings(table: pa.Table, percent: int, short: int) -> pa.Table:
     del token, order, new
     long_ones = np.repeat(lengths, lengths) > short
     heads, rest = cls[np.repeat(starts, lengths)[long_ones]], cls[long_ones]
-    out = [(heads, rest, np.ones(len(rest), np.int64), np.ones(len(rest), np.int64))]
+    out = [(heads, rest, np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64))]
     keep = (lengths > 1) & (lengths <= short)
     starts, lengths = starts[keep], lengths[keep]
     part = np.cumsum(lengths * (lengths - 1) // 2) // PAIRS
@@ -316,6 +317,12 @@ def _search_task(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs a, b that share as many rare shingles as they need, and those tied by a long list: what such a pair shares elsewhere does not undo the tie."""
+    pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"), F.min("need").alias("least"))
+    return pairs.where("least = 0 or c >= need").select("a", "b")
+
+
 def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
     """Edges a, b between classes that may link, or share a frequent shingle of their prefixes with the same first class."""
     bitmap, bits = _order(rows, shingles)
@@ -327,7 +334,7 @@ def _neighbours(rows: DataFrame, shingles: int, percent: int) -> DataFrame:
     # Prefixes are worked out twice, since the rare postings are the larger part and need not be written.
     rare = sets.mapInArrow(lambda b: _rare_postings(prefixes(b), buckets), "bucket long, tokens binary, classes binary, sizes binary, rares binary").repartition(buckets, "bucket")
     met = rare.groupBy("bucket").applyInArrow(lambda t: _meetings(t, percent, short), "a long, b long, c long, need long")
-    enough = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where((F.col("c") >= F.col("need")) & (F.col("a") != F.col("b"))).select("a", "b")
+    enough = _enough(met)
     often = materialize(sets.mapInArrow(lambda b: _frequent_postings(prefixes(b)), "token long, cls long").distinct(), "frequent")
     heads = broadcast_if(materialize(often.groupBy("token").agg(F.min("cls").alias("b")), "heads"), BROADCAST_ROWS)
     led = often.join(heads, "token").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()

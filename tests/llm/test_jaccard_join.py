@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lynceus.llm import jaccard_join
@@ -112,3 +114,15 @@ def test_prefixes_hold_every_link():
             rng.shuffle(order)
             first = lambda s: sorted(s, key=order.__getitem__)[: len(s) - (-(-80 * len(s) // 100)) + 1]
             assert set(first(x)) & set(first(y))
+
+
+def test_ties_of_long_lists_stay(spark):
+    """Head 1 and class 5 share too few rare shingles of short lists, but a long list ties them: both stay, so 5 and 7 meet in one family."""
+    met = spark.createDataFrame([(1, 5, 1, 9), (1, 5, 0, 0), (1, 7, 0, 0), (2, 3, 4, 9), (2, 3, 5, 9), (2, 4, 8, 9), (6, 6, 3, 1)], "a long, b long, c long, need long")
+    assert sorted(map(tuple, jaccard_join._enough(met).collect())) == [(1, 5), (1, 7), (2, 3)]
+    token = np.array([7] * 6 + [9] * 2, np.uint64)
+    cls, n = np.array([1, 2, 3, 4, 5, 6, 1, 5]), [50] * 8
+    row = {"tokens": [token.tobytes()], "classes": [cls.astype(np.int64).tobytes()], "sizes": [jaccard_join._packed(np.array(n))], "rares": [jaccard_join._packed(np.array([8] * 8))]}
+    out = jaccard_join._meetings(pa.table(row), 80, 4).to_pylist()
+    assert {(r["a"], r["b"]) for r in out if r["need"] == 0 and r["a"] != r["b"]} == {(1, k) for k in range(2, 7)}
+    assert [(r["a"], r["b"], r["c"]) for r in out if r["need"] > 0] == [(1, 5, 1)]
