@@ -35,6 +35,13 @@ def m3_pooled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("block", "frames", "valid_frames", *rounded(*names, digits=4), *rounded("points_avg", digits=3), "classification")
 
 
+@query(f"""WITH {_POOLED}, o AS (SELECT count(*) AS valid_blocks, avg(mean_px) AS m, stddev_samp(mean_px) AS s, max(mean_px) - min(mean_px) AS g, quantile_cont(floor_px, 0.5) AS f FROM pb)
+SELECT valid_blocks, round(m, 4) AS mean_px, round(s, 4) AS std_px, round(g, 4) AS range_px, round(f, 4) AS floor_px,
+  CASE WHEN valid_blocks < 3 THEN 'FAIL' WHEN s < f THEN 'GOOD' WHEN s < 3 * f THEN 'WARNING' ELSE 'BAD' END AS classification FROM o""")
+def m3_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stability.holdout_overall(_blocks(spark, sf_dir)).select("valid_blocks", *rounded("mean_px", "std_px", "range_px", "floor_px", digits=4), "classification")
+
+
 @query(f"""WITH {_POOLED}, w AS (SELECT block FROM pb ORDER BY mean_px DESC, block LIMIT 1), l AS (SELECT block, i, metric, value FROM (
   SELECT block, 0 AS i, 'depth_m' AS metric, depth_m AS value FROM pb UNION ALL SELECT block, 1, 'edge_density', edge_density FROM pb UNION ALL SELECT block, 2, 'points_avg', points_avg FROM pb UNION ALL SELECT block, 3, 'fov_coverage', fov FROM pb)),
 d AS (SELECT i, metric, max(value) FILTER (block = (SELECT block FROM w)) AS a, quantile_cont(value, 0.5) FILTER (block <> (SELECT block FROM w)) AS b FROM l GROUP BY 1, 2),
@@ -47,13 +54,14 @@ def m3_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rank", "worst_block", "metric", *rounded("worst_value", "others_median", digits=4), *rounded("relative_diff"), "explanation")
 
 
-@query(f"""WITH {_ROBUST}, o AS (SELECT frame_index, mean_px, abs(mean_px - median) > CASE WHEN mad > 1e-6 THEN 3 * mad ELSE greatest(0.05, 0.05 * abs(median)) END AS out FROM frames, s),
-a AS (SELECT count(*) AS n, avg(mean_px) AS m, stddev_samp(mean_px) AS sd, max(mean_px) AS mx, quantile_cont(mean_px, 0.95) AS p95, count_if(out) AS k FROM o), f AS (SELECT quantile_cont(floor_px, 0.5) AS fl FROM frames)
-SELECT a.n AS frames, a.n AS valid_frames, 0::BIGINT AS failed_frames, k::BIGINT AS outlier_frames, round(m, 5) AS mean_px, round(sd, 5) AS std_px, round(p95, 5) AS p95_px, round(mx, 5) AS max_px, round(median, 5) AS median, round(mad, 5) AS mad, round(fl, 5) AS floor_px,
-  1.0::DOUBLE AS valid_ratio, round(k / a.n, 6) AS outlier_ratio, CASE WHEN sd < fl THEN 'GOOD' WHEN sd < 3 * fl THEN 'WARNING' ELSE 'BAD' END AS classification FROM a, f, s""")
+@query(f"""WITH {_ROBUST.replace("FROM orders GROUP BY 1", "FROM orders GROUP BY 1 HAVING frame_index % 7 <> 0")}, o AS (SELECT frame_index, mean_px, abs(mean_px - median) > CASE WHEN mad > 1e-6 THEN 3 * mad ELSE greatest(0.05, 0.05 * abs(median)) END AS out FROM frames, s),
+a AS (SELECT count(*) AS n, avg(mean_px) AS m, stddev_samp(mean_px) AS sd, max(mean_px) AS mx, quantile_cont(mean_px, 0.95) AS p95, count_if(out) AS k FROM o), f AS (SELECT quantile_cont(floor_px, 0.5) AS fl FROM frames), every AS (SELECT count(DISTINCT o_orderdate::DATE) AS e FROM orders)
+SELECT e AS frames, a.n AS valid_frames, e - a.n AS failed_frames, k::BIGINT AS outlier_frames, round(m, 5) AS mean_px, round(sd, 5) AS std_px, round(p95, 5) AS p95_px, round(mx, 5) AS max_px, round(median, 5) AS median, round(mad, 5) AS mad, round(fl, 5) AS floor_px,
+  round(a.n / e, 6) AS valid_ratio, round(k / a.n, 6) AS outlier_ratio, CASE WHEN sd < fl THEN 'GOOD' WHEN sd < 3 * fl THEN 'WARNING' ELSE 'BAD' END AS classification FROM a, f, s, every""")
 def m4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = stability.multiframe(frames(spark, sf_dir).withColumn("classification", F.lit("GOOD")))
-    return one.select("frames", "valid_frames", "failed_frames", "outlier_frames", *rounded("mean_px", "std_px", "p95_px", "max_px", "median", "mad", "floor_px"), "valid_ratio", *rounded("outlier_ratio", digits=6), "classification")
+    """Every seventh day failed."""
+    one = stability.multiframe(frames(spark, sf_dir).withColumn("classification", F.when(F.col("frame_index") % 7 == 0, "FAIL").otherwise("GOOD")))
+    return one.select("frames", "valid_frames", "failed_frames", "outlier_frames", *rounded("mean_px", "std_px", "p95_px", "max_px", "median", "mad", "floor_px"), *rounded("valid_ratio", "outlier_ratio", digits=6), "classification")
 
 
 # Facts of a run, from the customers of a nation: every rule fires for some and not for others.

@@ -1,22 +1,38 @@
-"""Radius self-join on a grid: neighbours within a distance, per frame."""
+"""Radius self-join on a grid: neighbours within a distance, per frame, and the points of depth steps.
+
+Where points lie densely, a depth step is decided on bounds of sub-cells: those wholly within the radius count as a
+whole, those wholly beyond it not at all, and only points that neither decides meet the points of the cells on its rim.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import broadcast_within, written
+
+#: Points of a cell as wide as the radius from which on its neighbourhood is decided on sub-cells; sub-cells across the radius.
+DENSE, ACROSS = 256, 4
+BROADCAST_CELLS = 1_000_000
+#: Depths within this of the least one count as the least.
+EQUAL_M = 1e-9
+
+
+def _cut(c: str, width: float) -> Column:
+    return F.floor(F.col(c) / width).cast("int")
 
-def with_neighbour_depths(points: DataFrame, radius: float) -> DataFrame:
+
+def with_neighbour_depths(points: DataFrame, radius: float, among: DataFrame | None = None) -> DataFrame:
     """Adds n, low and high: the points within ``radius`` pixels of the same frame (itself too) and their depths' bounds.
 
     Cells are as wide as the radius, so a point meets nine cells. The side that is copied to them carries u, v and
     depth only; whole rows stay in their own cell. Points of one place are one row of that side, with their count. The
     sums are grouped on the cell and the row, so the join's partitioning serves them and nothing is shuffled again.
+    The neighbours are those of ``among``, by default the points themselves.
     """
-    cut = lambda c: F.floor(F.col(c) / radius).cast("int")
-    mine = points.withColumns({"gx": cut("u"), "gy": cut("v"), "row": F.monotonically_increasing_id()})
-    places = points.groupBy("frame_id", F.col("u").alias("ou"), F.col("v").alias("ov")).agg(F.count("*").alias("c"), F.min("depth").alias("od"), F.max("depth").alias("oh"))
-    near = F.explode(F.array(*[F.struct((cut("ou") + i).alias("gx"), (cut("ov") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    mine = points.withColumns({"gx": _cut("u", radius), "gy": _cut("v", radius), "row": F.monotonically_increasing_id()})
+    places = (points if among is None else among).groupBy("frame_id", F.col("u").alias("ou"), F.col("v").alias("ov")).agg(F.count("*").alias("c"), F.min("depth").alias("od"), F.max("depth").alias("oh"))
+    near = F.explode(F.array(*[F.struct((_cut("ou", radius) + i).alias("gx"), (_cut("ov", radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     other = places.withColumn("g", near).select("frame_id", "g.gx", "g.gy", "ou", "ov", "c", "od", "oh")
     met = mine.join(other.hint("merge"), ["frame_id", "gx", "gy"]).where((F.col("u") - F.col("ou")) ** 2 + (F.col("v") - F.col("ov")) ** 2 <= radius * radius)
     kept = [c for c in points.columns if c != "frame_id"]
@@ -24,8 +40,74 @@ def with_neighbour_depths(points: DataFrame, radius: float) -> DataFrame:
     return sums.select(*points.columns, "n", "low", "high")
 
 
+def _is_step(jump: float, min_neighbours: int) -> Column:
+    return (F.col("n") >= min_neighbours) & (F.col("high") - F.col("low") > jump) & (F.col("depth") <= F.col("low") + EQUAL_M)
+
+
 def edge_points(points: DataFrame, radius: float = 3.0, jump: float = 0.3, min_neighbours: int = 3) -> DataFrame:
-    """Points on the near side of a depth step: enough neighbours, a depth range over ``jump``, and the least depth."""
-    around = with_neighbour_depths(points, radius)
-    step = (F.col("n") >= min_neighbours) & (F.col("high") - F.col("low") > jump) & (F.col("depth") <= F.col("low") + 1e-9)
-    return around.where(step).select(*points.columns)
+    """Points on the near side of a depth step: enough neighbours, a depth range over ``jump``, and the least depth.
+
+    Points with a dense cell next to them are decided by ``dense_edge_points``, the others by the join of all neighbours.
+    """
+    cell = [_cut("u", radius).alias("gx"), _cut("v", radius).alias("gy")]
+    dense = written(points.groupBy("frame_id", *cell).agg(F.count("*").alias("c")).where(F.col("c") > DENSE).select("frame_id", "gx", "gy"))
+    if dense.isEmpty():
+        return with_neighbour_depths(points, radius).where(_is_step(jump, min_neighbours)).select(*points.columns)
+
+    def around(reach: int) -> DataFrame:
+        steps = range(-reach, reach + 1)
+        wide = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in steps for j in steps]))
+        return broadcast_within(written(dense.select("frame_id", wide.alias("g")).select("frame_id", "g.*").distinct()), BROADCAST_CELLS)
+
+    points = written(points)
+    placed = points.withColumns({"gx": _cut("u", radius), "gy": _cut("v", radius)})
+    key, columns = ["frame_id", "gx", "gy"], points.columns
+    near, far = placed.join(around(1), key, "left_semi").select(*columns), placed.join(around(2), key, "left_semi").select(*columns)
+    rest = with_neighbour_depths(placed.join(around(1), key, "left_anti").select(*columns), radius, points).where(_is_step(jump, min_neighbours))
+    return rest.select(*columns).unionByName(dense_edge_points(near, far, radius, jump, min_neighbours))
+
+
+def dense_edge_points(points: DataFrame, among: DataFrame, radius: float = 3.0, jump: float = 0.3, min_neighbours: int = 3) -> DataFrame:
+    """The same as ``edge_points`` for ``points`` with neighbours from ``among`` (all that are within the radius), without meeting most of them.
+
+    Count and depth bounds of sub-cells, a quarter of the radius wide, are combined cell by cell. A point deeper than
+    the least depth of a cell wholly within the radius is none; nor is one around which no cell that the radius touches
+    adds depth; one that is least of all these cells, with enough points and range in those within, is one. The few
+    points left meet the sub-cells on the rim, and the places of a sub-cell only if it can change their bounds.
+    """
+    w = radius / ACROSS
+    steps = range(-ACROSS - 1, ACROSS + 2)
+    inside = lambda i, j: ((abs(i) + 1) ** 2 + (abs(j) + 1) ** 2) * w * w <= radius * radius
+    reach = [(i, j) for i in steps for j in steps if (max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2) * w * w <= radius * radius]
+    own = {"sx": _cut("u", w), "sy": _cut("v", w)}
+    cells = written(among.withColumns(own).groupBy("frame_id", "sx", "sy").agg(F.count("*").alias("c"), F.min("depth").alias("lo"), F.max("depth").alias("hi")))
+    to = lambda offsets: F.explode(F.array(*[F.struct((F.col("sx") - i).alias("sx"), (F.col("sy") - j).alias("sy"), F.lit(inside(i, j)).alias("within")) for i, j in offsets]))
+    spread = cells.select("frame_id", "c", "lo", "hi", to(reach).alias("t")).select("frame_id", "t.*", "c", "lo", "hi")
+    whole = lambda c: F.when(F.col("within"), F.col(c))
+    bounds = spread.groupBy("frame_id", "sx", "sy").agg(
+        F.coalesce(F.sum(whole("c")), F.lit(0)).alias("n_in"), F.min(whole("lo")).alias("lo_in"), F.max(whole("hi")).alias("hi_in"), F.sum("c").alias("n_out"), F.min("lo").alias("lo_out"), F.max("hi").alias("hi_out")
+    )
+    least = points.withColumns(own).join(cells.select("frame_id", "sx", "sy", "lo"), ["frame_id", "sx", "sy"]).where(F.col("depth") <= F.col("lo") + EQUAL_M).drop("lo")  # of its own cell, before anything is joined
+    known = least.join(bounds, ["frame_id", "sx", "sy"])
+    possible = (F.col("depth") <= F.col("lo_in") + EQUAL_M) & (F.col("hi_out") - F.col("lo_out") > jump) & (F.col("n_out") >= min_neighbours)
+    sure = (F.col("depth") <= F.col("lo_out") + EQUAL_M) & (F.col("hi_in") - F.col("lo_in") > jump) & (F.col("n_in") >= min_neighbours)
+    known = written(known.where(possible).withColumns({"sure": sure, "row": F.monotonically_increasing_id()}))
+
+    rim = [(i, j) for i, j in reach if not inside(i, j)]
+    asked = known.where("not sure").withColumn("t", F.explode(F.array(*[F.struct((F.col("sx") + i).alias("sx"), (F.col("sy") + j).alias("sy")) for i, j in rim])))
+    asked = asked.drop("sx", "sy").select("*", "t.*").drop("t").join(cells, ["frame_id", "sx", "sy"])
+    at = lambda p, s, side: F.abs(F.col(p) - (F.col(s) + side) * w)
+    gap = lambda p, s: F.when((F.col(p) < F.col(s) * w) | (F.col(p) > (F.col(s) + 1) * w), F.least(at(p, s, 0), at(p, s, 1))).otherwise(0.0)
+    span = lambda p, s: F.greatest(at(p, s, 0), at(p, s, 1))
+    # Rounding of the cells' edges is left to the exact distances below.
+    touched = asked.where(gap("u", "sx") ** 2 + gap("v", "sy") ** 2 <= radius * radius * (1 + 1e-9)).withColumn("taken", span("u", "sx") ** 2 + span("v", "sy") ** 2 <= radius * radius * (1 - 1e-9))
+    adds = (F.col("lo") < F.col("lo_in")) | (F.col("hi") > F.col("hi_in")) | (F.col("n_in") < min_neighbours)
+    touched = written(touched.where(F.col("taken") | adds))
+    places = among.withColumns(own).groupBy("frame_id", "sx", "sy", F.col("u").alias("ou"), F.col("v").alias("ov")).agg(F.count("*").alias("oc"), F.min("depth").alias("od"), F.max("depth").alias("oh"))
+    single = touched.where("not taken").join(places, ["frame_id", "sx", "sy"]).where((F.col("u") - F.col("ou")) ** 2 + (F.col("v") - F.col("ov")) ** 2 <= radius * radius)
+    more = touched.where("taken").select("row", "c", "lo", "hi").unionByName(single.select("row", F.col("oc").alias("c"), F.col("od").alias("lo"), F.col("oh").alias("hi")))
+    more = more.groupBy("row").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    settled = known.where("not sure").join(more, "row", "left").withColumns({
+        "n": F.col("n_in") + F.coalesce("c", F.lit(0)), "low": F.least("lo_in", "lo"), "high": F.greatest("hi_in", "hi"),
+    }).where(_is_step(jump, min_neighbours))
+    return known.where("sure").select(*points.columns).unionByName(settled.select(*points.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import written
 from .noise_floor import Floor, classify, severity
 from .order_statistics import exact_percentiles
 
@@ -35,7 +36,7 @@ def time_blocks(frames: DataFrame, blocks: int) -> DataFrame:
 
 
 def block_summary(frames: DataFrame, min_frames: int = 30) -> DataFrame:
-    """block, frames, status and the mean error and median floor of its valid frames."""
+    """block, frames, status and the mean of its frames' means and the median of their floors: a quick look, not M3, which pools points (``pooled_blocks``)."""
     grouped = frames.groupBy("block").agg(F.count("*").alias("frames"), F.avg("mean_px").alias("mean_px"), F.expr("percentile(floor_px, 0.5)").alias("floor_px"))
     short = F.col("frames") < min_frames
     return grouped.select("block", "frames", F.when(short, "EXCLUDED").otherwise("VALID").alias("status"), F.when(~short, F.col("mean_px")).alias("mean_px"), F.when(~short, F.col("floor_px")).alias("floor_px"))
@@ -92,15 +93,20 @@ def instability(blocks: DataFrame, threshold: float = 0.5, min_blocks: int = 3)
 
 
 def holdout_overall(blocks: DataFrame, min_blocks: int = 3) -> DataFrame:
-    """One row: valid blocks, mean, sample deviation and range of their means, and the class by 1 and 3 floors."""
-    v = blocks.where("status = 'VALID'")
-    one = v.agg(F.count("*").alias("valid_blocks"), F.avg("mean_px").alias("mean_px"), F.stddev_samp("mean_px").alias("std_px"), (F.max("mean_px") - F.min("mean_px")).alias("range_px"), F.expr("percentile(floor_px, 0.5)").alias("floor_px"))
-    kind = F.when(F.col("valid_blocks") < min_blocks, "FAIL").when(F.col("std_px") < F.col("floor_px"), "GOOD").when(F.col("std_px") < 3 * F.col("floor_px"), "WARNING").otherwise("BAD")
-    return one.withColumn("classification", kind)
+    """One row: valid blocks, mean, sample deviation and range of their pooled means, median of their floors, and the class by 1 and 3 floors.
+
+    ``blocks`` is what ``pooled_blocks`` gives; EXCLUDED and FAIL ones don't count. FAIL and no figures below ``min_blocks``.
+    """
+    v = blocks.where("classification in ('GOOD', 'WARNING', 'BAD')")
+    one = v.agg(F.count("*").alias("valid_blocks"), F.avg("mean_px").alias("mean_px"), F.stddev_samp("mean_px").alias("std_px"), (F.max("mean_px") - F.min("mean_px")).alias("range_px"), F.median("floor_px").alias("floor_px"))
+    enough = F.col("valid_blocks") >= min_blocks
+    one = one.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_px", "std_px", "range_px", "floor_px")})
+    return one.withColumn("classification", F.when(enough, classify(F.col("std_px"), F.col("floor_px"), 1.0, 3.0)).otherwise("FAIL"))
 
 
 def robust_stats(frames: DataFrame) -> DataFrame:
-    """One row: n, median, scaled MAD, quartiles; all null but n without frames."""
+    """One row: n, median, scaled MAD, quartiles; all null but n without frames. Frames are worked out once."""
+    frames = written(frames.select("mean_px"))
     whole = frames.select(F.lit(1).alias("k"), "mean_px")
     quartiles = exact_percentiles(whole, "k", "mean_px", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     away = whole.join(F.broadcast(quartiles.select("k", "median")), "k").select("k", F.abs(F.col("mean_px") - F.col("median")).alias("away"))  # one-row side
@@ -149,9 +155,13 @@ def multiframe(frames: DataFrame, rule: str = "hampel", min_frames: int = 30, **
 def drift(frames: DataFrame, floor_px: Column | None = None, alpha: float = 0.05, min_frames: int = 5) -> DataFrame:
     """One row: n, slope, r, t statistic, p value, the drift over the whole span, and the class.
 
-    A slope that is not significant is GOOD; else the drift is judged by 1 and 3 median floors (``floor_px`` overrides
-    them). FAIL with fewer than ``min_frames`` frames or all at one index.
+    Frames classified FAIL and those without a mean don't count. A slope that is not significant is GOOD; else the drift
+    is judged by 1 and 3 median floors (``floor_px`` overrides them). FAIL, without figures, with fewer than
+    ``min_frames`` frames or all at one index.
     """
+    frames = frames.where("mean_px is not null and frame_index is not null")
+    if "classification" in frames.columns:
+        frames = frames.where("classification <> 'FAIL'")
     fit = frames.agg(F.count("*").alias("n"), F.covar_pop("mean_px", "frame_index").alias("c"), F.var_pop("frame_index").alias("vx"), F.var_pop("mean_px").alias("vy"), (F.max("frame_index") - F.min("frame_index")).alias("span"))
     fit = fit.select("n", "span", F.when(F.col("vx") > 0, F.col("c") / F.col("vx")).alias("slope"), F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))
     if floor_px is None and "floor_px" in frames.columns:
@@ -165,7 +175,8 @@ def drift(frames: DataFrame, floor_px: Column | None = None, alpha: float = 0.05
     fails = (F.col("n") < min_frames) | F.coalesce(F.col("span") == 0, F.lit(True))
     significant = F.coalesce(F.col("p_value") < alpha, F.lit(False))
     kind = F.when(fails, "FAIL").when(~significant, "GOOD").otherwise(classify(F.col("drift_px"), F.col("floor_px"), 1.0, 3.0))
-    return one.select("n", "slope", "r", "t_stat", "p_value", "drift_px", "floor_px", (significant & ~fails).alias("significant"), kind.alias("classification"))
+    figures = [F.when(~fails, F.col(c)).alias(c) for c in ("slope", "r", "t_stat", "p_value", "drift_px", "floor_px")]
+    return one.select("n", *figures, (significant & ~fails).alias("significant"), kind.alias("classification"))
 
 
 def two_sided_p(t: Column, degrees: Column) -> Column:

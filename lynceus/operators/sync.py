@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..tables import broadcast_within, written
+from . import pieces
 from .noise_floor import named
 from .order_statistics import exact_percentiles
 
@@ -20,8 +21,6 @@ DROP_BOUNDS, SPREAD_BOUNDS = (0.05, 0.20), (0.2, 0.5)
 POOR_DROP, LARGE_OFFSET = 0.5, 0.5
 #: Rows of a recording that one task takes; longer recordings are cut into pieces of about as many.
 PIECE_ROWS = 200_000
-#: Summaries of pieces that are broadcast.
-BROADCAST_PIECES = 1_000_000
 
 
 def coarse_offset(camera: np.ndarray, lidar: np.ndarray) -> float:
@@ -33,20 +32,6 @@ def coarse_offset(camera: np.ndarray, lidar: np.ndarray) -> float:
     return float(np.median(camera - np.where(np.abs(early - camera) <= np.abs(late - camera), early, late)))
 
 
-def _longest(both: DataFrame, key: str) -> int:
-    return both.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def _pieces(both: DataFrame, key: str, at: str) -> DataFrame:
-    """``both`` as a written table, cut by key and time into pieces (column ``piece``) of about ``PIECE_ROWS`` rows; equal times stay together."""
-    n = max(1, -(-both.count() // PIECE_ROWS))
-    return written(both.repartitionByRange(n, key, at).withColumn("piece", F.spark_partition_id()))
-
-
-def _same(key: str, other: str) -> Column:
-    return F.col(key).eqNullSafe(F.col(other))
-
-
 def nearest_of_any(left: DataFrame, right: DataFrame, key: str = "rig") -> DataFrame:
     """key, left_id, right_id, diff_s (left less right) of the nearest right time at any distance; of two equally near ones the earlier.
 
@@ -56,14 +41,14 @@ def nearest_of_any(left: DataFrame, right: DataFrame, key: str = "rig") -> DataF
     """
     both = left.select(key, "id", "t", F.lit(1).alias("side")).unionByName(right.select(key, "id", "t", F.lit(0).alias("side"))).where("t is not null")
     own, none = F.when(F.col("side") == 0, F.struct("t", "id")), F.lit(None)
-    if _longest(both, key) <= PIECE_ROWS:
+    if pieces.longest(both, key) <= PIECE_ROWS:
         run, placed = [key], both.withColumns({"carried": none, "coming": none})
     else:
-        run, cut = [key, "piece"], _pieces(both, key, "t")
+        run, cut = [key, "piece"], pieces.cut(both, key, "t", PIECE_ROWS)
         ends = cut.groupBy(key, "piece").agg(F.max(own).alias("last"), F.min(own).alias("first"))
         w = Window.partitionBy(key).orderBy("piece")  # one row a piece
         ends = written(ends.select(F.col(key).alias("of"), F.col("piece").alias("at_piece"), F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("coming")))
-        placed = cut.join(broadcast_within(ends, BROADCAST_PIECES), _same(key, "of") & (F.col("piece") == F.col("at_piece")))
+        placed = pieces.told(cut, ends, key)
     w = Window.partitionBy(*run).orderBy("t", "side", "id")
     seen = placed.withColumns({
         "early": F.coalesce(F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")),
@@ -146,33 +131,8 @@ def _fold(both: DataFrame, key: str, window_s: float) -> DataFrame:
     """
     kind, name = (both.schema[c].dataType.simpleString() for c in ("id", key))
     reach = window_s * 1.001 + 1e-6
-    cut = _pieces(both, key, "at")
-    ends = cut.groupBy(key, "piece").agg(
-        F.min(F.when(F.col("seen"), F.col("at"))).alias("a"), F.max(F.when(F.col("seen"), F.col("at"))).alias("b"),
-        F.min(F.when(~F.col("seen"), F.col("at"))).alias("lo"), F.max(F.when(~F.col("seen"), F.col("at"))).alias("hi"), F.count_if(~F.col("seen")).alias("n"),
-    )
-
-    def goals(table: pa.Table) -> pa.Table:
-        """For each piece with LiDAR frames: frames before it, and the pieces whose camera frames' reach meets them. Pieces ascend in time."""
-        table = table.sort_by("piece")
-        a, b, lo, hi = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("a", "b", "lo", "hi"))
-        n, piece = (table.column(c).to_numpy() for c in ("n", "piece"))
-        with_camera = np.nonzero(~np.isnan(a))[0]
-        found = []
-        for q in range(len(piece)):
-            if not n[q]:
-                found.append([])
-                continue
-            x = np.searchsorted(b[with_camera] + reach, lo[q])
-            y = np.searchsorted(a[with_camera] - reach, hi[q], "right")
-            found.append([{"goal": int(piece[p]), "since": float(a[p] - reach), "until": float(b[p] + reach)} for p in with_camera[x:y]])
-        kept = {"of": table.column(key), "at_piece": table.column("piece"), "before": pa.array(np.cumsum(n) - n)}
-        return pa.table({**kept, "goals": pa.array(found, pa.list_(pa.struct([("goal", pa.int32()), ("since", pa.float64()), ("until", pa.float64())])))})
-
-    summary = written(ends.groupBy(key).applyInArrow(goals, f"of {name}, at_piece int, before long, goals array<struct<goal:int,since:double,until:double>>"))
-    told = cut.where("not seen").join(broadcast_within(summary, BROADCAST_PIECES), _same(key, "of") & (F.col("piece") == F.col("at_piece")))
-    index = F.col("before") + F.row_number().over(Window.partitionBy(key, "piece").orderBy("at", "id")) - 1
-    lidar = told.withColumn("index", index).withColumn("g", F.explode("goals")).where("at >= g.since and at <= g.until").select(key, "id", "t", "seen", "at", F.col("g.goal").alias("piece"), "index")
+    cut = pieces.cut(both, key, "at", PIECE_ROWS)
+    lidar = pieces.routed(cut, F.col("seen"), ~F.col("seen"), key, "at", reach, order=["id"]).select(key, "id", "t", "seen", "at", F.col("goal").alias("piece"), "index")
     met = cut.where("seen").withColumn("index", F.lit(None).cast("long")).select(key, "id", "t", "seen", "at", "piece", "index").unionByName(lidar)
 
     def piece_row(table: pa.Table) -> pa.Table:
@@ -215,7 +175,7 @@ def _fold(both: DataFrame, key: str, window_s: float) -> DataFrame:
                 keys = pa.array([own[key].as_py()] * len(found), batch.schema.field(key).type)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(index, pa.int64()), own["camera"].values.take(left), own["lidar"].values.take(right), seen_at, pa.array(times[right.to_numpy()])], [key, "frame_index", "camera_id", "lidar_id", "t", "lidar_t"])
 
-    joined = rows.drop("leaves", "counts").join(broadcast_within(known, BROADCAST_PIECES), _same(key, "of") & (F.col("piece") == F.col("at_piece"))).drop("of", "at_piece")
+    joined = pieces.told(rows.drop("leaves", "counts"), known, key)
     out = joined.mapInArrow(pairs, f"{key} {name}, frame_index long, camera_id {kind}, lidar_id {kind}, t double, lidar_t double")
     return out.select(key, "frame_index", "camera_id", "lidar_id", "t", (F.col("t") - F.col("lidar_t")).alias("diff_s"))
 
@@ -228,15 +188,15 @@ def monotonic_sync(camera: DataFrame, lidar: DataFrame, window_s: float, key: st
     work each, longer ones are folded in pieces side by side (``_fold``). Null times are left out.
     """
     both = camera.select(key, "id", "t", F.lit(True).alias("seen")).unionByName(lidar.select(key, "id", "t", F.lit(False).alias("seen"))).where("t is not null")
-    if _longest(both, key) <= PIECE_ROWS:
+    if pieces.longest(both, key) <= PIECE_ROWS:
         return _in_one_task(both, key, window_s)
     both = written(both)
     near = nearest_of_any(both.where("seen"), both.where("not seen"), key)
     offset = written(exact_percentiles(near, key, "diff_s", {"offset": 0.5}).select(F.col(key).alias("of"), "offset"))
-    told = both.join(broadcast_within(offset, BROADCAST_PIECES), _same(key, "of"))
+    told = both.join(broadcast_within(offset, pieces.BROADCAST_PIECES), pieces.same(key, "of"))
     first = written(_fold(told.withColumn("at", F.when(F.col("seen"), F.col("t") - F.col("offset")).otherwise(F.col("t"))).select(key, "id", "t", "seen", "at"), key, window_s))
     met = first.select(F.col(key).alias("of")).distinct()
-    rest = told.where("offset <> 0").drop("of").join(met, _same(key, "of"), "left_anti")
+    rest = told.where("offset <> 0").drop("of").join(met, pieces.same(key, "of"), "left_anti")
     if rest.isEmpty():
         return first
     return first.unionByName(_fold(rest.withColumn("at", F.col("t")).select(key, "id", "t", "seen", "at"), key, window_s))

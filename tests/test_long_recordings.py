@@ -96,3 +96,39 @@ def test_no_large_cell_is_sorted(spark, monkeypatch):
     got = order_statistics.exact_percentiles(values, "g", "v", {"m": 0.5}).first()
     assert got["m"] == pytest.approx(1.500005, abs=1e-9)
     assert cells[-1].agg({"m": "max"}).first()[0] <= 1000
+
+
+def brute_edges(rows, radius, jump, least):
+    out = set()
+    for f, i, u, v, d in rows:
+        near = [e for g, _, x, y, e in rows if g == f and (u - x) ** 2 + (v - y) ** 2 <= radius * radius]
+        if len(near) >= least and max(near) - min(near) > jump and d <= min(near) + 1e-9:
+            out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dense_cells_equal_all_pairs(spark, monkeypatch, seed):
+    from lynceus.operators import radius
+
+    monkeypatch.setattr(radius, "DENSE", 6)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(500):
+        f, (cu, cv, s) = i % 2, rng.choice([(10, 10, 1.5), (40, 30, 4), (30, 30, 15), (12, 14, 0.4)])
+        u, v = rng.gauss(cu, s), rng.gauss(cv, s)
+        rows.append((f, i, round(u) if seed == 1 else u, round(v) if seed == 1 else v, rng.choice([5.0, 5.2, 5.25, 5.5]) if seed < 3 else 5 + rng.random() / 2))
+    rows += [(3, 500 + i, float(i % 3), 0.0, 5.0) for i in range(40)] + [(3, 600, 4.9, 0.0, 9.0)]
+    rows = [(f, i, float(u), float(v), d) for f, i, u, v, d in rows]
+    df = spark.createDataFrame(rows, "frame_id int, point_id int, u double, v double, depth double").repartition(3)
+    got = radius.edge_points(df).collect()
+    assert {r["point_id"] for r in got} == brute_edges(rows, 3.0, 0.3, 3) and len(got) == len({r["point_id"] for r in got})
+
+
+def test_a_million_points_on_one_cell(spark):
+    from lynceus.operators import radius
+
+    h = "(xxhash64(id, {}) & 1048575) / 1048576D"
+    df = spark.range(1_000_000).selectExpr("1 AS frame_id", "id AS point_id", f"{h.format(1)} * 3 AS u", f"{h.format(2)} * 3 AS v", f"5 + {h.format(3)} AS depth")
+    found = [r["depth"] for r in radius.edge_points(df).collect()]
+    assert found and min(found) == df.agg({"depth": "min"}).first()[0] and max(found) < 5.001
