@@ -272,7 +272,7 @@ def dynamic_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_metrics.static_against_all(overall, static, removed).select("frame_id", "overall_edge_points", "static_edge_points", *rounded("contamination", digits=6), "removed")
 
 
-ROUNDS = 20
+ROUNDS = 300
 
 
 @query(f"""WITH {_PTS}, pl AS (SELECT frame_id, point_id, x, y, z, row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 AS at, count(*) OVER (PARTITION BY frame_id) AS n FROM pts),
@@ -284,7 +284,7 @@ pn AS (SELECT frame_id, r, cx / s AS nx, cy / s AS ny, cz / s AS nz, -(cx * x0 +
 ct AS (SELECT frame_id, r, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, any_value(o) AS o, count(*) AS n, count_if(abs(x * nx + y * ny + z * nz + o) <= 1.0) AS k FROM pl JOIN pn USING (frame_id) GROUP BY 1, 2)
 SELECT frame_id, n, k::BIGINT AS inliers, round(k / n, 6) AS inlier_ratio, round(nx, 4) AS nx, round(ny, 4) AS ny, round(nz, 4) AS nz, round(o, 3) AS "offset" FROM ct QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY k DESC, r) = 1""")
 def plane_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty triples by a rule, and 1 m, so that SQL can follow; ``dominant_planes`` draws 300 at random."""
+    """300 triples by a rule, and 1 m, so that SQL can follow; ``dominant_planes`` draws as many at random."""
     pts = points(spark, sf_dir)
     n, r = F.col("n"), F.col("round")
     triples = pts.groupBy("frame_id").agg(F.count("*").alias("n")).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))))

@@ -43,17 +43,44 @@ def edge_mask(image: np.ndarray, low: float = LOW, high: float = HIGH) -> np.nda
     along_y = (size > at(-1, 0)) & (size >= at(1, 0))
     down, up = (size > at(-1, -1)) & (size > at(1, 1)), (size > at(-1, 1)) & (size > at(1, -1))
     ridge = np.where(flat, along_x, np.where(upright, along_y, np.where(falling, down, up))) & (size > low)
-    grown = ridge & (size > high)
-    while True:  # as many rounds as the longest weak run has pixels
-        q = np.pad(grown, 1)
-        near = np.zeros_like(grown)
-        for dy in range(3):
-            for dx in range(3):
-                near |= q[dy : dy + grown.shape[0], dx : dx + grown.shape[1]]
-        near &= ridge
-        if near.sum() == grown.sum():
-            return near
-        grown = near
+    return with_seeds(ridge, ridge & (size > high))
+
+
+def with_seeds(mask: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The parts of ``mask`` (8 neighbours) that hold a seed: union-find over the runs of marked pixels in rows, in one pass however long a part winds."""
+    h, w = mask.shape
+    step = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]  # past the run
+    if not len(row):
+        return np.zeros_like(mask)
+    # Runs of a row touch those of the next row whose ends reach them, corners included: neighbours in both orders.
+    first = np.searchsorted(row, np.arange(h + 1))
+    line = row * (w + 2)
+    low = np.searchsorted(line + end, line + w + 2 + begin)
+    high = np.searchsorted(line + begin, line + w + 2 + end, "right")
+    low, high = np.maximum(low, first[row + 1]), np.minimum(high, first[np.minimum(row + 2, h)])
+    span = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), span)
+    b = np.repeat(low - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+    parent = np.arange(len(row))
+    while True:  # roots are hooked to smaller roots, then paths are halved until all are flat
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        a, b = a[apart], b[apart]
+    v, u = np.nonzero(seeds & mask)
+    kept = np.zeros(len(row), bool)
+    kept[parent[np.searchsorted(line + begin, v * (w + 2) + u, "right") - 1]] = True
+    out = np.zeros((h, w + 1), np.int8)
+    chosen = kept[parent]
+    out[row[chosen], begin[chosen]] = 1
+    out[row[chosen], end[chosen]] = -1
+    return np.cumsum(out, axis=1)[:, :w].astype(bool)
 
 
 def distance_to(mask: np.ndarray) -> np.ndarray:

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import broadcast_within, written
 from . import images as raster
+from . import pieces
 from .noise_floor import Floor, classify
 from .projection import Rig, project
 
 #: Fixed values.
 DISTANCE_M, ROUNDS, MIN_SHARE, MARGIN_PX, MIN_OUTLINE = 0.05, 300, 0.10, 4.0, 30
+#: Frames whose planes (300 of 40 bytes each) are broadcast.
+BROADCAST_FRAMES = 5_000
+#: Points that a task numbers.
+PIECE_ROWS = 500_000
 
 
 def random_triples(counts: DataFrame, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
@@ -34,31 +40,77 @@ def random_triples(counts: DataFrame, rounds: int = ROUNDS, seed: int = 0) -> Da
 
 
 def numbered(points: DataFrame, key: str = "point_id") -> DataFrame:
-    """frame_id, at (0-based position by ``key`` in its frame), x, y, z."""
+    """frame_id, at (0-based position by ``key`` in its frame), x, y, z. Frames of many points are numbered in pieces."""
+    rows = points.select("frame_id", key, *[F.col(c).cast("double").alias(c) for c in "xyz"])
     at = F.row_number().over(Window.partitionBy("frame_id").orderBy(key)) - 1
-    return points.select("frame_id", key, at.cast("long").alias("at"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    if pieces.longest(rows, "frame_id") <= PIECE_ROWS:
+        return rows.select("frame_id", key, at.cast("long").alias("at"), *"xyz")
+    cut = pieces.cut(rows, "frame_id", key, PIECE_ROWS)
+    before = F.sum("n").over(Window.partitionBy("frame_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))  # one row a piece
+    ends = cut.groupBy("frame_id", "piece").agg(F.count("*").alias("n"))
+    ends = written(ends.select(F.col("frame_id").alias("of"), F.col("piece").alias("at_piece"), F.coalesce(before, F.lit(0)).alias("before")))
+    own = F.row_number().over(Window.partitionBy("frame_id", "piece").orderBy(key)) - 1
+    return pieces.told(cut, ends, "frame_id").select("frame_id", key, (F.col("before") + own).cast("long").alias("at"), *"xyz")
 
 
-def dominant_planes(points: DataFrame, triples: DataFrame | None = None, distance_m: float = DISTANCE_M, key: str = "point_id") -> DataFrame:
-    """frame_id, n, nx, ny, nz, offset, inliers, inlier_ratio: the plane through a triple that most points are near; of equal ones the first round.
+def candidate_planes(placed: DataFrame, triples: DataFrame) -> DataFrame:
+    """frame_id, planes: an array of round, nx, ny, nz, offset through each triple, by round; triples on lines are left out.
 
-    A frame's planes are candidates that its points meet; counts are combined before the shuffle, so each point is
-    read once and nothing of a frame is gathered. Frames with fewer than three points, or with triples on lines only, have no row.
+    ``placed`` is what ``numbered`` gives. Only the corners of triples are looked up, so an array has as many planes as there are rounds.
     """
-    placed = numbered(points, key)
-    counts = placed.groupBy("frame_id").agg(F.count("*").alias("n"))
-    triples = random_triples(counts) if triples is None else triples
     spots = triples.select("frame_id", "round", F.posexplode(F.array("i0", "i1", "i2")).alias("corner", "at"))
     met = spots.join(placed, ["frame_id", "at"]).groupBy("frame_id", "round").agg(*[F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"])
     a, b = ([F.col(f"{c}{k}") - F.col(f"{c}0") for c in "xyz"] for k in (1, 2))
     cross = [a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)]
     planes = met.withColumns({f"c{c}": x for c, x in zip("xyz", cross)}).withColumn("size", F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2 + F.col("cz") ** 2)).where("size >= 1e-9")
     planes = planes.select("frame_id", "round", *[(F.col(f"c{c}") / F.col("size")).alias(f"n{c}") for c in "xyz"], "x0", "y0", "z0")
-    planes = planes.withColumn("offset", -(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).drop("x0", "y0", "z0")
-    away = F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") + F.col("offset"))
-    near = placed.select("frame_id", *"xyz").join(planes, "frame_id").groupBy("frame_id", "round", "nx", "ny", "nz", "offset").agg(F.count("*").alias("n"), F.count_if(away <= distance_m).alias("inliers"))
-    best = near.groupBy("frame_id").agg(F.max_by(F.struct("n", "nx", "ny", "nz", "offset", "inliers"), F.struct(F.col("inliers"), -F.col("round"))).alias("b"))
-    return best.select("frame_id", "b.*").withColumn("inlier_ratio", F.col("inliers") / F.col("n"))
+    planes = planes.withColumn("offset", -(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0")))
+    return planes.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("round", "nx", "ny", "nz", "offset"))).alias("planes"))
+
+
+def near_counts(placed: DataFrame, planes: DataFrame, distance_m: float) -> DataFrame:
+    """frame_id, counts: for each of a frame's planes the points within ``distance_m`` of it.
+
+    Points meet one row a frame, and each batch counts all planes at once and sends one vector a frame: no row for a
+    point and a plane exists, and a frame's points stay where they are. The planes are broadcast within a bound, or come by a join.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.column("frame_id").to_numpy(zero_copy_only=False)
+            xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"])
+            for f in np.unique(frame):
+                at = np.nonzero(frame == f)[0]
+                p = batch.column("planes")[int(at[0])].values
+                n, offset = np.stack([p.field(c).to_numpy() for c in ("nx", "ny", "nz")], 1), p.field("offset").to_numpy()
+                total = np.zeros(len(n), np.int64)
+                for some in np.array_split(at, max(1, len(at) * len(n) // 1_000_000)):
+                    x, y, z = xyz[:, some]
+                    # The order of the sum is that of the column expression of ``inlier_points``.
+                    total += (np.abs(n[:, :1] * x + n[:, 1:2] * y + n[:, 2:] * z + offset[:, None]) <= distance_m).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array([int(f)]), pa.array([total], pa.list_(pa.int64()))], ["frame_id", "counts"])
+
+    planes = written(planes)
+    met = placed.select(F.col("frame_id").cast("long").alias("frame_id"), *"xyz").join(broadcast_within(planes, BROADCAST_FRAMES), "frame_id")
+    parts = met.mapInArrow(count, "frame_id long, counts array<long>")
+    added = parts.select("frame_id", F.posexplode("counts").alias("i", "c")).groupBy("frame_id", "i").agg(F.sum("c").alias("c"))
+    return added.groupBy("frame_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("counts"))
+
+
+def dominant_planes(points: DataFrame, triples: DataFrame | None = None, distance_m: float = DISTANCE_M, key: str = "point_id") -> DataFrame:
+    """frame_id, n, nx, ny, nz, offset, inliers, inlier_ratio: the plane through a triple that most points are near; of equal ones the first round.
+
+    A frame's planes are one row that its points meet (``near_counts``). Frames with fewer than three points, or with
+    triples on lines only, have no row.
+    """
+    placed = written(numbered(points, key))
+    counts = placed.groupBy("frame_id").agg(F.count("*").alias("n"))
+    planes = candidate_planes(placed, random_triples(counts) if triples is None else triples)
+    planes = written(planes.withColumn("frame_id", F.col("frame_id").cast("long")))
+    near = near_counts(placed, planes, distance_m).join(planes, "frame_id")
+    both = F.zip_with("planes", "counts", lambda p, c: F.struct(c.alias("inliers"), (-p["round"]).alias("earlier"), *(p[x].alias(x) for x in ("nx", "ny", "nz", "offset"))))
+    best = near.select("frame_id", F.array_max(both).alias("b")).join(counts.select(F.col("frame_id").cast("long").alias("frame_id"), "n"), "frame_id")
+    return best.select("frame_id", "n", "b.nx", "b.ny", "b.nz", "b.offset", "b.inliers", (F.col("b.inliers") / F.col("n")).alias("inlier_ratio"))
 
 
 def inlier_points(points: DataFrame, planes: DataFrame, distance_m: float = DISTANCE_M) -> DataFrame:

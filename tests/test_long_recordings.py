@@ -132,3 +132,70 @@ def test_a_million_points_on_one_cell(spark):
     df = spark.range(1_000_000).selectExpr("1 AS frame_id", "id AS point_id", f"{h.format(1)} * 3 AS u", f"{h.format(2)} * 3 AS v", f"5 + {h.format(3)} AS depth")
     found = [r["depth"] for r in radius.edge_points(df).collect()]
     assert found and min(found) == df.agg({"depth": "min"}).first()[0] and max(found) < 5.001
+
+
+def test_frames_in_strips_equal_whole_frames(spark, monkeypatch):
+    from lynceus.operators import neighbours
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        f = rng.choice([0, 0, 0, 1, 2])
+        cu, cv, s = rng.choice([(10, 10, 1.0), (200, 30, 30), (100, 300, 3)])
+        u, v = (rng.gauss(cu, s), rng.gauss(cv, s)) if f else (float(rng.randint(0, 30)), 300 * rng.random())
+        rows.append((f, i, u, v, rng.random() < 0.8, u + rng.gauss(2, 1), v + rng.gauss(1, 3), 1.0, 1))
+    rows += [(5, 900, 1.0, 1.0, True, 2.0, 2.0, 1.0, 1), (6, 901, 1.0, 1.0, False, 2.0, 2.0, 15.0, 0), (7, 902, 0.0, 0.0, True, 0.0, 5.0, 5.0, 1), (7, 903, 1e4, 0.0, True, 9e3, 5.0, 5.0, 1)]
+    rows = [(*r[:5], *((r[5], r[6]) if r[4] else (None, None)), float(r[7]), r[8]) for r in rows]
+    df = spark.createDataFrame(rows, "frame_id int, point_id long, u double, v double, matched boolean, pixel_u double, pixel_v double, distance_px double, num_candidates long").repartition(3)
+    ask = lambda: [sorted(map(str, (r.asDict() for r in out.select(sorted(out.columns)).collect()))) for out in (neighbours.edge_directions(df), neighbours.agreeing(df))]
+    want = ask()
+    monkeypatch.setattr(neighbours, "FRAME_ROWS", 60)
+    assert ask() == want and sum("consistency" in r for r in want[1]) > 10
+
+
+def test_planes_in_pieces(spark, monkeypatch):
+    from lynceus.operators import planes
+
+    rng = random.Random(3)
+    rows = [(f, i, rng.random() * 5, rng.random() * 5, 0.01 * rng.random() if i % 3 else rng.random() * 5) for f in (1, 2) for i in range(300)] + [(3, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "frame_id int, point_id int, x double, y double, z double").repartition(4)
+    want = sorted(map(tuple, planes.dominant_planes(df).collect()))
+    monkeypatch.setattr(planes, "PIECE_ROWS", 50)
+    monkeypatch.setattr(planes, "BROADCAST_FRAMES", 0)
+    assert sorted(map(tuple, planes.dominant_planes(df).collect())) == want and len(want) == 2
+    for f, n, nx, ny, nz, o, k, share in want:
+        assert abs(nz) > 0.99 and k == sum(abs(x * nx + y * ny + z * nz + o) <= 0.05 for g, _, x, y, z in rows if g == f) and share == k / n
+
+
+def test_parts_with_seeds():
+    from lynceus.operators import images
+
+    rng = np.random.default_rng(2)
+
+    def flood(mask, seeds):
+        out, todo = np.zeros_like(mask), list(zip(*np.nonzero(mask & seeds)))
+        while todo:
+            y, x = todo.pop()
+            if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and not out[y, x]:
+                out[y, x] = True
+                todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        return out
+
+    for share in (0.05, 0.3, 0.5, 0.8):
+        for _ in range(60):
+            mask = rng.random((int(rng.integers(1, 25)), int(rng.integers(1, 25)))) < share
+            seeds = rng.random(mask.shape) < 0.05
+            assert (images.with_seeds(mask, seeds) == flood(mask, seeds)).all()
+    spiral = np.zeros((101, 101), bool)
+    y = x = 0
+    dy, dx, left, turns = 0, 1, 100, 0
+    while left > 0:
+        for _ in range(left):
+            spiral[y, x] = True
+            y, x = y + dy, x + dx
+        dy, dx, turns = dx, -dy, turns + 1
+        left -= 2 if turns % 2 == 1 and turns > 1 else 0
+    spiral[y, x] = True
+    seeds = np.zeros_like(spiral)
+    seeds[0, 0] = True
+    assert (images.with_seeds(spiral, seeds) == flood(spiral, seeds)).all() and images.with_seeds(spiral, seeds).sum() > 2000
