@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .driver_queries import _EDGES, _FLOOR, _PTS, FLOOR, KEYS, PLAIN, _placed, _table, points
 from .functions import rigid
-from .operators import frame_metrics, images, neighbours, noise_floor, planes, radius, scans, sync, validation, views
+from .operators import decisions, frame_metrics, images, motion, neighbours, noise_floor, planes, radius, scans, sensitivity, sync, validation, views
 from .plans import evaluate
 from .registry import query, rounded
+from .tables import written
 
 RIGS, WINDOW_S = 8, 7200.0
 
@@ -388,3 +389,103 @@ def pixel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("frame_id").agg(F.count("*").alias("n"), F.count("strength").alias("hit"), F.round(F.sum("strength"), 2).alias("total"))
 
 
+
+
+_RISE = "atan2(z, sqrt(x ** 2 + y ** 2))"
+_TURN = "least(greatest(floor((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 900), 0), 899)::INT"
+_HOLES = "holed AS (SELECT frame_id, point_id, x, y, CASE WHEN point_id % 97 = 0 THEN 'NaN'::DOUBLE ELSE z END AS z FROM pts)"
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of which some have no height."""
+    return points(spark, sf_dir).withColumn("z", F.when(F.col("point_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("z")))
+
+
+@query(f"""WITH {_PTS}, {_HOLES}, sp AS (SELECT frame_id, min({_RISE}) AS lo, max({_RISE}) AS hi FROM holed WHERE NOT isnan(z) GROUP BY 1)
+SELECT frame_id, point_id, CASE WHEN isnan(z) THEN -1 ELSE least(greatest(floor(({_RISE} - lo) / (hi - lo) * 32), 0), 31)::INT END AS ring FROM holed JOIN sp USING (frame_id)""")
+def ring_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.with_cells(_holed(spark, sf_dir), fov_deg=None).select(*KEYS, "ring")
+
+
+_GIVEN = f"""{_HOLES}, gv AS (SELECT *, {_TURN} AS az, sqrt(x ** 2 + y ** 2 + z ** 2) AS range_m, greatest((point_id % 53)::INT - 5, -1) AS ring FROM holed),
+gi AS (SELECT frame_id, ring, az, min(range_m) AS range_m, arg_min(point_id, (range_m, point_id)) AS point_id FROM gv WHERE ring >= 0 AND NOT isnan(range_m) GROUP BY 1, 2, 3)"""
+
+
+def _given_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensor's own 48 rings, more than the 32 of the default, and points it gives none."""
+    own = _holed(spark, sf_dir).withColumn("channel", (F.col("point_id") % 53 - 5).cast("int"))
+    return scans.with_cells(own, ring="channel")
+
+
+@query(f"WITH {_PTS}, {_GIVEN} SELECT frame_id, ring, az, round(range_m, 5) AS range_m, point_id FROM gi")
+def range_image_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.range_image(_given_rings(spark, sf_dir)).select("frame_id", "ring", "az", *rounded("range_m"), "point_id")
+
+
+@query(f"""WITH {_PTS}, {_GIVEN}, ar AS (SELECT * FROM gi), st AS (SELECT a.frame_id, a.point_id FROM ar a JOIN ar b ON a.frame_id = b.frame_id AND a.ring = b.ring AND (b.az = (a.az + 1) % 900 OR b.az = (a.az + 899) % 900) AND b.range_m - a.range_m > 0.3 GROUP BY 1, 2)
+SELECT gv.frame_id, count(*) AS n, count(st.point_id) AS edges, coalesce(sum(st.point_id % 1000003), 0)::BIGINT AS marks FROM gv LEFT JOIN st ON st.frame_id = gv.frame_id AND st.point_id = gv.point_id GROUP BY 1""")
+def native_edge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = scans.native_edges(_given_rings(spark, sf_dir))
+    mark = F.when(F.col("is_edge"), F.col("point_id") % 1000003).otherwise(0)
+    return marked.groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if("is_edge").alias("edges"), F.sum(mark).alias("marks"))
+
+
+@query(f"""WITH {_PTS}, a AS (SELECT *, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END - 0.5 AS raw FROM pts), d AS (SELECT *, CASE WHEN raw < 0 THEN raw + 2 * pi() ELSE raw END AS t FROM a)
+SELECT frame_id, point_id, round(least(greatest(error / 50 - 0.02, 0), 0.1), 6) AS given_s, round(t / (2 * pi()) * 0.1, 6) AS swept_s, round(CASE WHEN t = 0 THEN 0 ELSE (2 * pi() - t) / (2 * pi()) * 0.1 END, 6) AS clockwise_s FROM d""")
+def time_offset_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select(
+        *KEYS, F.round(motion.time_offset(given=F.col("error") / 50 - 0.02), 6).alias("given_s"), F.round(motion.time_offset(start_rad=0.5), 6).alias("swept_s"),
+        F.round(motion.time_offset(clockwise=True, start_rad=0.5), 6).alias("clockwise_s"),
+    )
+
+
+#: Few variants, so that SQL can follow: turns about y and shifts along x. The frames of a variant are numbered apart.
+VARIANTS = [c for c in sensitivity.candidates(PLAIN) if (c[0], c[2]) in {("yaw_deg", 0.5), ("yaw_deg", 1.0), ("tx", 0.02), ("roll_deg", 1.0)}]
+_GRID_ROWS = ", ".join(str((i, *c)) for i, c in enumerate([("none", 1, 0.0, *map(float, PLAIN.transform)), *VARIANTS]))
+_VARIED = f"""vr AS (SELECT * FROM (VALUES {_GRID_ROWS}) g(variant, axis, direction, delta, {", ".join(f"m{i}" for i in range(12))})),
+pts AS (SELECT variant * 1000 + frame_id AS frame_id, point_id, m0 * x + m1 * y + m2 * z + m3 AS xc, m4 * x + m5 * y + m6 * z + m7 AS yc, m8 * x + m9 * y + m10 * z + m11 AS zc FROM (SELECT * FROM pts0 WHERE frame_id < 4) q, vr),
+proj AS (SELECT * FROM (SELECT *, 150 * (xc / zc) + 160 AS u, 150 * (yc / zc) + 120 AS v, zc AS depth FROM pts WHERE zc > 0.05) WHERE u >= 0 AND u < 320 AND v >= 0 AND v < 240)"""
+_PTS0 = _PTS[: _PTS.index("),\ncam AS") + 1].replace("pts AS", "pts0 AS", 1)
+_VARIED_M2 = _M2.replace("pix AS (SELECT", "pix0 AS (SELECT", 1).replace(", turned0 AS", ", pix AS (SELECT vr.variant * 1000 + pix0.frame_id AS frame_id, pu, pv, strength, deg FROM pix0, vr), turned0 AS", 1)
+_ERRORS = f"{_PTS0}, {_VARIED}{_EDGES}{_VARIED_M2}, pe AS (SELECT m2c.frame_id % 1000 AS frame_id, vr.variant, axis, direction, delta::DOUBLE AS delta, mean_px, floor_px FROM m2c JOIN vr ON vr.variant = m2c.frame_id // 1000)"
+
+
+def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge error of the first four frames, under each variant."""
+    pts = points(spark, sf_dir).where("frame_id < 4")
+    return evaluate.perturbed_alignment(pts, pts.select("frame_id").distinct(), _pixels(spark, sf_dir), PLAIN, FLOOR, VARIANTS, directions=_degrees())
+
+
+@query(f"WITH {_ERRORS} SELECT frame_id, axis, direction::INT AS direction, delta, round(mean_px, 4) AS mean_px, round(floor_px, 4) AS floor_px FROM pe")
+def perturbation_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _perturbed(spark, sf_dir).select("frame_id", "axis", "direction", "delta", *rounded("mean_px", "floor_px", digits=4))
+
+
+@query(f"""WITH {_ERRORS}, base AS (SELECT frame_id, mean_px AS b FROM pe WHERE axis = 'none'), cand AS (SELECT * FROM pe WHERE axis <> 'none'),
+least1 AS (SELECT frame_id, arg_min(mean_px, (mean_px, variant)) AS m, arg_min(axis, (mean_px, variant)) AS axis FROM cand WHERE mean_px IS NOT NULL GROUP BY 1), lost AS (SELECT frame_id, count_if(mean_px IS NULL)::BIGINT AS invalid FROM cand GROUP BY 1)
+SELECT frame_id AS run, axis, round(m, 4) AS best_px, round(b - m, 4) AS margin_px, invalid, CASE WHEN b - m IS NULL THEN 'FAIL' WHEN b - m <= {decisions.MINIMUM_TOLERANCE_PX} THEN 'AT_LOCAL_MINIMUM' ELSE 'NOT_AT_LOCAL_MINIMUM' END AS classification
+FROM base JOIN lost USING (frame_id) LEFT JOIN least1 USING (frame_id)""")
+def local_minimum_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _perturbed(spark, sf_dir).withColumns({"run": F.col("frame_id"), "position": F.col("variant")})
+    out = decisions.local_minimum(every.where("axis <> 'none'"), every.where("axis = 'none'").select("run", F.col("mean_px").alias("baseline_px")))
+    return out.select("run", "axis", *rounded("best_px", "margin_px", digits=4), "invalid", "classification")
+
+
+@query(f"""WITH {_ERRORS}, al AS (SELECT axis, direction, delta, avg(mean_px) AS mean_px FROM pe GROUP BY 1, 2, 3), base AS (SELECT mean_px AS b, (SELECT avg(floor_px) FROM pe WHERE axis = 'none') AS f FROM al WHERE axis = 'none'),
+cand AS (SELECT * FROM al WHERE axis <> 'none' AND mean_px IS NOT NULL), e AS (SELECT axis, min(delta) AS lo, max(delta) AS hi FROM cand GROUP BY 1),
+s AS (SELECT axis, avg(abs(mean_px - b)) FILTER (delta = lo) AS small_px, avg(abs(mean_px - b)) FILTER (delta = hi) AS large_px FROM cand JOIN e USING (axis), base GROUP BY 1)
+SELECT axis, round(small_px, 4) AS small_px, round(large_px, 4) AS large_px, CASE WHEN small_px > 0.1 THEN 'HIGH' WHEN large_px > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS classification FROM s""")
+def axis_sensitivity_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mean over the frames, with a floor of 0.1 px."""
+    samples = written(_perturbed(spark, sf_dir)).groupBy("axis", "direction", "delta").agg(F.avg("mean_px").alias("mean_px"))
+    samples = written(samples)
+    base = samples.where("axis = 'none'").first()
+    out = sensitivity.axis_sensitivity(samples.where("axis <> 'none'"), base["mean_px"] if base and base["mean_px"] is not None else 0.0, 0.1)
+    return out.select("axis", *rounded("small_px", "large_px", digits=4), "classification")
+
+
+@query(f"WITH {_PTS}, {_HOLES} SELECT frame_id, least(count(*), 50) AS n, count(*) >= 50 AS full_sample FROM holed GROUP BY 1")
+def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty points of each frame; which ones is up to the hash and tested apart."""
+    some = views.sampled_points(_holed(spark, sf_dir), 50)
+    return some.groupBy("frame_id").agg(F.count("*").alias("n")).withColumn("full_sample", F.col("n") >= 50)

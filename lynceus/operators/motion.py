@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def time_offset(period_s: float = 0.1, clockwise: bool = False) -> Column:
-    """Seconds into the sweep, from the azimuth of x and y."""
-    part = F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi)) / (2 * math.pi)
-    return (1 - part if clockwise else part) * period_s
+def time_offset(period_s: float = 0.1, clockwise: bool = False, start_rad: float = 0.0, given: Column | None = None) -> Column:
+    """Seconds into the sweep: ``given`` by the sensor, held within the period, or else from the azimuth of x and y past ``start_rad``."""
+    if given is not None:
+        return F.least(F.greatest(given.cast("double"), F.lit(0.0)), F.lit(float(period_s)))
+    full = F.lit(2 * math.pi)
+    turned = F.pmod(F.pmod(F.atan2("y", "x"), full) - start_rad, full)
+    return (F.pmod(full - turned, full) if clockwise else turned) / (2 * math.pi) * period_s
 
 
 def deskew(points: DataFrame, velocity: tuple[float, float, float], omega: tuple[float, float, float], reference_s: float = 0.0) -> DataFrame:

@@ -4,28 +4,59 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RINGS, AZIMUTHS, JUMP = 32, 900, 0.3
 
 
-def with_cells(points: DataFrame, fov_deg: float = 60.0, rings: int = RINGS, azimuths: int = AZIMUTHS) -> DataFrame:
-    """Adds range_m, ring and az; rings cut the elevations of the fixed field of view into equal parts."""
-    half = math.radians(fov_deg) / 2
+def elevation() -> Column:
+    """Angle above the plane of x and y, in radians."""
+    return F.atan2(F.col("z"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))
+
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def with_cells(points: DataFrame, fov_deg: float | None = 60.0, rings: int = RINGS, azimuths: int = AZIMUTHS, ring: str | None = None) -> DataFrame:
+    """Adds range_m, ring and az; ring is -1 where the elevation is not finite.
+
+    Rings cut the elevations of the field of view ``fov_deg`` into equal parts, those beyond it belong to the outer ones.
+    Without a field of view they cut the span that each frame's finite elevations have (all ring 0 where there is none).
+    A column ``ring`` of the sensor's own rings is taken as it is, however many they are; negative and null ones are -1.
+    """
     turn = F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi))
-    rise = F.atan2(F.col("z"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))
     clip = lambda c, n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(n - 1)).cast("int")
-    return points.withColumns({
-        "range_m": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2),
-        "ring": clip((rise + half) / (2 * half) * rings, rings), "az": clip(turn / (2 * math.pi) * azimuths, azimuths),
+    rise = elevation()
+    if ring is not None:
+        at = F.greatest(F.coalesce(F.col(ring).cast("int"), F.lit(-1)), F.lit(-1))
+    elif fov_deg is not None:
+        half = math.radians(fov_deg) / 2
+        at = F.when(_finite(rise), clip((rise + half) / (2 * half) * rings, rings)).otherwise(-1)
+    else:
+        spans = points.where(_finite(rise)).groupBy("frame_id").agg(F.min(rise).alias("_lo"), F.max(rise).alias("_hi"))  # one row a frame
+        points = points.join(spans, "frame_id", "left")
+        part = F.when(F.col("_hi") > F.col("_lo"), (rise - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+        at = F.when(_finite(rise), clip(part * rings, rings)).otherwise(-1)
+    out = points.withColumns({
+        "range_m": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "ring": at,
+        "az": F.when(_finite(turn), clip(turn / (2 * math.pi) * azimuths, azimuths)).otherwise(-1),
     })
+    return out.drop("_lo", "_hi")
 
 
 def range_image(cells: DataFrame, key: str = "point_id") -> DataFrame:
-    """The nearest point of each cell; of equal ranges the smallest id."""
-    return cells.groupBy("frame_id", "ring", "az").agg(F.min(F.struct("range_m", key)).alias("m")).select("frame_id", "ring", "az", "m.*")
+    """The nearest point of each cell; of equal ranges the smallest id. Points without a ring or a finite range are in no cell."""
+    seen = cells.where((F.col("ring") >= 0) & _finite(F.col("range_m")))
+    return seen.groupBy("frame_id", "ring", "az").agg(F.min(F.struct("range_m", key)).alias("m")).select("frame_id", "ring", "az", "m.*")
+
+
+def native_edges(cells: DataFrame, jump: float = JUMP, azimuths: int = AZIMUTHS, wrap: bool = True, key: str = "point_id") -> DataFrame:
+    """``cells`` with is_edge: whether the point is the nearest one of a cell on the near side of a step (``edge_cells``)."""
+    edges = edge_cells(range_image(cells, key), jump, azimuths, wrap).select("frame_id", key, F.lit(True).alias("is_edge"))
+    return cells.join(edges, ["frame_id", key], "left").select(*cells.columns, F.coalesce("is_edge", F.lit(False)).alias("is_edge"))
 
 
 def edge_cells(image: DataFrame, jump: float = JUMP, azimuths: int = AZIMUTHS, wrap: bool = True) -> DataFrame:

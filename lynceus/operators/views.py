@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,9 +70,43 @@ def headline_frame(frames: DataFrame, key: str = "rig") -> DataFrame:
     return frames.withColumns({"_at": at, "_n": F.count("*").over(w)}).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
 
 
-def sampled_points(points: DataFrame, limit: int, key: str = "point_id") -> DataFrame:
-    """At most ``limit`` points, the same ones each time: those with the smallest hashes of their key."""
-    return points.orderBy(F.xxhash64(F.col(key)), key).limit(limit)
+def sampled_points(points: DataFrame, limit: int, key: str = "point_id", group: str = "frame_id") -> DataFrame:
+    """At most ``limit`` points of each group, the same ones each time: those with the smallest hashes of their key.
+
+    A task keeps the best of what it has seen of a group so far, and what tasks kept is merged: no group is sorted
+    or gathered whole, only ``limit`` points a task and group are shuffled.
+    """
+    hashed = points.withColumn("_hash", F.xxhash64(F.col(key)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = None, 0
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            kept = some if kept is None else pa.concat_tables([kept, some])
+            if kept.num_rows > 2 * held + SAMPLE_ROWS:
+                kept = _smallest(kept, group, key, limit)
+                held = kept.num_rows
+                if held > MOST_ROWS:  # many groups: what is left goes on as it is
+                    yield from kept.to_batches()
+                    kept, held = None, 0
+        if kept is not None:
+            yield from _smallest(kept, group, key, limit).combine_chunks().to_batches()
+
+    few = hashed.mapInArrow(best, hashed.schema)
+    w = Window.partitionBy(group).orderBy("_hash", key)
+    return few.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= limit).drop("_at", "_hash")
+
+
+#: Rows that a task of ``sampled_points`` reads before it sorts out the best, and that it keeps at most.
+SAMPLE_ROWS, MOST_ROWS = 50_000, 500_000
+
+
+def _smallest(table: pa.Table, group: str, key: str, limit: int) -> pa.Table:
+    table = table.sort_by([(group, "ascending"), ("_hash", "ascending"), (key, "ascending")])
+    code = table.column(group).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0] if len(code) else np.zeros(0, int)
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return table.filter(pa.array(place < limit))
 
 
 def view_depth(projected: DataFrame) -> DataFrame:
