@@ -13,6 +13,7 @@ from .functions import rigid
 from .operators import decisions, frame_metrics, images, motion, neighbours, noise_floor, planes, radius, scans, sensitivity, sync, validation, views
 from .plans import evaluate
 from .registry import query, rounded
+from .sources import frames as clouds_of
 from .tables import written
 
 RIGS, WINDOW_S = 8, 7200.0
@@ -439,20 +440,20 @@ def time_offset_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Few variants, so that SQL can follow: turns about y and shifts along x. The frames of a variant are numbered apart.
-VARIANTS = [c for c in sensitivity.candidates(PLAIN) if (c[0], c[2]) in {("yaw_deg", 0.5), ("yaw_deg", 1.0), ("tx", 0.02), ("roll_deg", 1.0)}]
+#: Two turns, so that SQL can follow. The frames of a variant are numbered apart.
+VARIANTS = [c for c in sensitivity.candidates(PLAIN) if (c[0], c[2]) == ("yaw_deg", 0.5)]
 _GRID_ROWS = ", ".join(str((i, *c)) for i, c in enumerate([("none", 1, 0.0, *map(float, PLAIN.transform)), *VARIANTS]))
 _VARIED = f"""vr AS (SELECT * FROM (VALUES {_GRID_ROWS}) g(variant, axis, direction, delta, {", ".join(f"m{i}" for i in range(12))})),
-pts AS (SELECT variant * 1000 + frame_id AS frame_id, point_id, m0 * x + m1 * y + m2 * z + m3 AS xc, m4 * x + m5 * y + m6 * z + m7 AS yc, m8 * x + m9 * y + m10 * z + m11 AS zc FROM (SELECT * FROM pts0 WHERE frame_id < 4) q, vr),
+pts AS (SELECT variant * 1000000 + frame_id AS frame_id, point_id, m0 * x + m1 * y + m2 * z + m3 AS xc, m4 * x + m5 * y + m6 * z + m7 AS yc, m8 * x + m9 * y + m10 * z + m11 AS zc FROM pts0, vr),
 proj AS (SELECT * FROM (SELECT *, 150 * (xc / zc) + 160 AS u, 150 * (yc / zc) + 120 AS v, zc AS depth FROM pts WHERE zc > 0.05) WHERE u >= 0 AND u < 320 AND v >= 0 AND v < 240)"""
 _PTS0 = _PTS[: _PTS.index("),\ncam AS") + 1].replace("pts AS", "pts0 AS", 1)
-_VARIED_M2 = _M2.replace("pix AS (SELECT", "pix0 AS (SELECT", 1).replace(", turned0 AS", ", pix AS (SELECT vr.variant * 1000 + pix0.frame_id AS frame_id, pu, pv, strength, deg FROM pix0, vr), turned0 AS", 1)
-_ERRORS = f"{_PTS0}, {_VARIED}{_EDGES}{_VARIED_M2}, pe AS (SELECT m2c.frame_id % 1000 AS frame_id, vr.variant, axis, direction, delta::DOUBLE AS delta, mean_px, floor_px FROM m2c JOIN vr ON vr.variant = m2c.frame_id // 1000)"
+_VARIED_M2 = _M2.replace("pix AS (SELECT", "pix0 AS (SELECT", 1).replace(", turned0 AS", ", pix AS (SELECT vr.variant * 1000000 + pix0.frame_id AS frame_id, pu, pv, strength, deg FROM pix0, vr), turned0 AS", 1)
+_ERRORS = f"{_PTS0}, {_VARIED}{_EDGES}{_VARIED_M2}, pe AS (SELECT m2c.frame_id % 1000000 AS frame_id, vr.variant, axis, direction, delta::DOUBLE AS delta, mean_px, floor_px FROM m2c JOIN vr ON vr.variant = m2c.frame_id // 1000000)"
 
 
 def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge error of the first four frames, under each variant."""
-    pts = points(spark, sf_dir).where("frame_id < 4")
+    """The edge error of each frame, under each variant."""
+    pts = points(spark, sf_dir)
     return evaluate.perturbed_alignment(pts, pts.select("frame_id").distinct(), _pixels(spark, sf_dir), PLAIN, FLOOR, VARIANTS, directions=_degrees())
 
 
@@ -489,3 +490,26 @@ def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty points of each frame; which ones is up to the hash and tested apart."""
     some = views.sampled_points(_holed(spark, sf_dir), 50)
     return some.groupBy("frame_id").agg(F.count("*").alias("n")).withColumn("full_sample", F.col("n") >= 50)
+
+
+@query(f"""WITH {_SPECS} SELECT rig, array_to_string(list_filter([CASE WHEN h IS NULL AND v IS NULL AND NOT coalesce(ch > 0 AND fov > 0, false) THEN 'no angular resolution in the sensor''s specification' END,
+  CASE WHEN ra IS NULL THEN 'no range accuracy in the sensor''s specification' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM specs""")
+def spec_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clouds_of.spec_warnings(_specs(spark, sf_dir)).select("rig", F.array_join("warnings", "; ").alias("warnings"))
+
+
+_CHANNEL = "round(CASE WHEN error <= 5 THEN {a} + ({b} - {a}) * least(greatest((error - 2) / 3, 0), 1) ELSE {b} + ({c} - {b}) * least(greatest((error - 5) / 3, 0), 1) END)::INT"
+_RGB = ", ".join(f"{_CHANNEL.format(a=a, b=b, c=c)} AS {n}" for n, a, b, c in zip(("red", "green", "blue"), *views.RAMP))
+
+
+@query(f"WITH {_PTS}, c AS (SELECT {_RGB} FROM pts) SELECT red, green, blue, count(*) AS n FROM c GROUP BY 1, 2, 3")
+def error_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shade = points(spark, sf_dir).select(views.cell_colour(F.col("error"), 2.0, 5.0, 8.0).alias("c"))
+    return shade.groupBy(*[F.col("c")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))]).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PTS}{_EDGES} SELECT frame_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM edge")
+def edges_from_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge points where they lie around the LiDAR, for a view from above."""
+    pts = points(spark, sf_dir)
+    return views.back_in_lidar(_edges(spark, sf_dir), pts).select(*KEYS, *rounded("x", "y", "z", digits=4))
