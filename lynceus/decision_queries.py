@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .driver_queries import _FLOOR, _FRAMES, _PTS, _ROBUST, FLOOR, PLAIN, _placed, _table, frames
 from .operators import decisions, stability, views
-from .plans import report
-from .registry import query, rounded
+from .plans import report, sections
+from .registry import ORACLES, query, rounded
+from .tables import written
 
 _DAYS = """days AS (SELECT date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS frame_id, count(*) AS edge_n, avg(o_custkey) AS proj_n, avg(o_totalprice) / 1e4 AS depth_m, min(o_orderkey) % 7 AS odd FROM orders GROUP BY 1),
 fr AS (SELECT frame_id, CASE WHEN odd = 0 THEN 'FAIL' ELSE 'GOOD' END AS kind, depth_m, edge_n, proj_n, ntile(5) OVER (ORDER BY frame_id) AS block FROM days),
@@ -260,3 +261,63 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quality_score": report.section(scores, "quality_score"), "root_cause_diagnosis": report.section(diagnosis, "root_cause_diagnosis"),
     }
     return report.as_json(report.report(facts.select("run"), sections))
+
+
+_PATHS = {
+    "m3_class": "$.m3_holdout_consistency.classification", "m3_blocks": "$.m3_holdout_consistency.num_valid_blocks", "m3_mean": "$.m3_holdout_consistency.mean_across_blocks_px",
+    "m3_first": "$.m3_holdout_consistency.blocks[0].mean_px", "m3_last": "$.m3_holdout_consistency.blocks[4].median_px", "m3_cause": "$.m3_holdout_consistency.instability_diagnosis.candidates[0].metric",
+    "m3_dynamic": "$.m3_holdout_consistency.blocks[0].dynamic_ratio", "m4_class": "$.m4_multiframe_consistency.classification", "m4_outliers": "$.m4_multiframe_consistency.num_outlier_frames",
+    "m4_mad": "$.m4_multiframe_consistency.mad_px", "m4_failed": "$.m4_multiframe_consistency.num_failed_frames", "m4_first": "$.m4_multiframe_consistency.frame_trajectory[0].frame_index",
+    "drift_class": "$.advanced.temporal_drift.classification", "drift_r": "$.advanced.temporal_drift.r_value", "plane": "$.advanced.plane_consistency", "sync": "$.synchronization",
+}
+
+
+@query(f"""WITH o3 AS ({ORACLES["m3_overall"]}), b3 AS ({ORACLES["m3_pooled_blocks"]}), d3 AS ({ORACLES["m3_diagnosis"]}), o4 AS ({ORACLES["m4_summary"]}), dr AS ({ORACLES["temporal_drift"]})
+SELECT 'm3_class' AS field, classification AS said, NULL::DOUBLE AS figure FROM o3 UNION ALL SELECT 'm3_blocks', NULL, valid_blocks FROM o3 UNION ALL SELECT 'm3_mean', NULL, mean_px FROM o3
+UNION ALL SELECT 'm3_first', NULL, mean_px FROM b3 WHERE block = 1 UNION ALL SELECT 'm3_last', NULL, median_px FROM b3 WHERE block = 5 UNION ALL SELECT 'm3_cause', max(metric), NULL FROM d3 WHERE rank = 1 UNION ALL SELECT 'm3_dynamic', NULL, NULL
+UNION ALL SELECT 'm4_class', classification, NULL FROM o4 UNION ALL SELECT 'm4_outliers', NULL, outlier_frames FROM o4 UNION ALL SELECT 'm4_mad', NULL, round(mad, 4) FROM o4 UNION ALL SELECT 'm4_failed', NULL, failed_frames FROM o4
+UNION ALL SELECT 'm4_first', NULL, min(date_diff('day', DATE '1990-01-01', o_orderdate::DATE)) FROM orders
+UNION ALL SELECT 'drift_class', classification, NULL FROM dr UNION ALL SELECT 'drift_r', NULL, round(r, 4) FROM dr UNION ALL SELECT 'plane', NULL, NULL UNION ALL SELECT 'sync', NULL, NULL""")
+def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one run with its hold-out, multi-frame and drift sections, read back from its JSON by paths."""
+    run = F.lit(1).alias("run")
+    keyed = lambda df: df.select(run, "*")
+    blocks = written(_blocks(spark, sf_dir))
+    third = sections.holdout(keyed(stability.holdout_overall(blocks)), keyed(blocks), keyed(stability.instability(blocks, threshold=0.001)))
+    every = frames(spark, sf_dir).withColumn("classification", F.when(F.col("frame_index") % 7 == 0, "FAIL").otherwise("GOOD"))
+    marked = stability.outliers(every.where("classification <> 'FAIL'"))
+    failed = every.where("classification = 'FAIL'").withColumns({"z": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
+    fourth = sections.multiframe(keyed(stability.multiframe(every)), keyed(marked.unionByName(failed)))
+    bad = F.col("frame_index") % 5 == 0
+    fit = stability.drift(frames(spark, sf_dir).withColumn("classification", F.when(bad, "FAIL").otherwise("GOOD")))
+    found = {"m3_holdout_consistency": third, "m4_multiframe_consistency": fourth, "advanced": sections.advanced(sections.drift(keyed(fit)))}
+    texts = report.as_json(sections.whole_report(spark.range(1).select(run), found))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.get_json_object("json", p).alias("v")) for n, p in _PATHS.items()]))
+    figure = F.expr("try_cast(v AS double)")
+    return texts.select(each.alias("e")).select("e.*").select("field", F.when(figure.isNull(), F.col("v")).alias("said"), F.round(figure, 4).alias("figure"))
+
+
+@query(f"""WITH rc AS ({ORACLES["root_cause"]}), q AS ({ORACLES["quality_score"]}), runs AS (SELECT DISTINCT c_nationkey AS run FROM customer), n AS (SELECT run, count(*) AS causes, max(cause) FILTER (rank = 1) AS top_cause, max(confidence) FILTER (rank = 1) AS confidence FROM rc GROUP BY 1)
+SELECT run, coalesce(causes, 0)::INT AS causes, top_cause, confidence, score, classification, valid_categories::BIGINT AS valid_categories FROM runs LEFT JOIN n USING (run) LEFT JOIN q USING (run)""")
+def report_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of each run with its causes and scores, read back from its JSON."""
+    facts, cats = _facts(spark, sf_dir), _categories(spark, sf_dir)
+    found = {"root_cause_diagnosis": sections.root_causes(decisions.root_causes(facts), decisions.confirmations(facts)), "quality_score": sections.quality(decisions.quality(cats), cats)}
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    texts = report.as_json(sections.whole_report(facts.select("run"), found))
+    return texts.select(
+        "run", F.coalesce(F.json_array_length(at("root_cause_diagnosis.candidates")), F.lit(0)).alias("causes"), at("root_cause_diagnosis.candidates[0].cause").alias("top_cause"),
+        at("root_cause_diagnosis.candidates[0].confidence").alias("confidence"), F.round(at("quality_score.overall_score").cast("double"), 4).alias("score"),
+        at("quality_score.overall_classification").alias("classification"), at("quality_score.num_valid_categories").cast("long").alias("valid_categories"),
+    )
+
+
+@query(f"""WITH q AS ({ORACLES["quality_score"]}), cf AS ({ORACLES["confidence"]}), cv AS ({ORACLES["coverage"]}),
+t AS (SELECT run, q.score AS quality_score, q.classification AS quality_class, cf.score AS confidence_score, cf.classification AS confidence_class, cv.score AS coverage_score, cv.classification AS coverage_class FROM q LEFT JOIN cf USING (run) LEFT JOIN cv USING (run))
+SELECT *, {" || '  ' || ".join(f"'{n.capitalize()}: ' || coalesce(floor({n}_score + 0.5)::INT || '/100', 'N/A') || ' (' || coalesce({n}_class, 'FAIL') || ')'" for n in ("quality", "confidence", "coverage"))} AS summary FROM t""")
+def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the runs that have all, some or only one of the three."""
+    parts = decisions.quality(_categories(spark, sf_dir)), confidence(spark, sf_dir), coverage(spark, sf_dir)
+    names = [f"{n}_score" for n in ("quality", "confidence", "coverage")]
+    out = decisions.bundle(*parts)
+    return out.select("run", *rounded(*names, digits=4), "quality_class", "confidence_class", "coverage_class", "summary")

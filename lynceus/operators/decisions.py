@@ -80,7 +80,7 @@ def bundle(quality_rows: DataFrame, confidence_rows: DataFrame, coverage_rows: D
     """The three side by side with one line of summary."""
     part = lambda df, name: df.select(key, F.col("score").alias(f"{name}_score"), F.col("classification").alias(f"{name}_class"))
     both = part(quality_rows, "quality").join(part(confidence_rows, "confidence"), key, "left").join(part(coverage_rows, "coverage"), key, "left")
-    text = lambda name: F.concat(F.lit(f"{name.capitalize()}: "), F.coalesce(F.format_string("%.0f/100", f"{name}_score"), F.lit("N/A")), F.lit(" ("), F.coalesce(f"{name}_class", F.lit("FAIL")), F.lit(")"))
+    text = lambda name: F.concat(F.lit(f"{name.capitalize()}: "), F.when(F.col(f"{name}_score").isNotNull(), F.format_string("%.0f/100", f"{name}_score")).otherwise("N/A"), F.lit(" ("), F.coalesce(f"{name}_class", F.lit("FAIL")), F.lit(")"))
     return both.withColumn("summary", F.concat_ws("  ", text("quality"), text("confidence"), text("coverage")))
 
 

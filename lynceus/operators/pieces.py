@@ -66,3 +66,20 @@ def routed(rows: DataFrame, asks: Column, answers: Column, key: str, at: str, re
         extra = ["index"]
         out = out.withColumn("index", F.col("before") + F.row_number().over(Window.partitionBy(key, "piece").orderBy(at, *order)) - 1)
     return out.withColumn("g", F.explode("goals")).where((place >= F.col("g.since")) & (place <= F.col("g.until"))).select(*rows.columns, *extra, F.col("g.goal").alias("goal"))
+
+
+def numbered(rows: DataFrame, key: str, at: str, size: int) -> DataFrame:
+    """Adds _at (0-based position by ``at`` in its group, equal places in any order) and _n (the group's rows).
+
+    Groups of up to ``size`` rows are numbered in one window each; with a longer one all are cut into pieces, numbered
+    there, and only the pieces' counts of a group meet.
+    """
+    if longest(rows, key) <= size:
+        own = Window.partitionBy(key)
+        return rows.withColumns({"_at": F.row_number().over(own.orderBy(at)) - 1, "_n": F.count("*").over(own)})
+    parts = cut(rows, key, at, size)
+    before = F.sum("c").over(Window.partitionBy("of").orderBy("at_piece").rowsBetween(Window.unboundedPreceding, -1))  # one row a piece
+    ends = parts.groupBy(F.col(key).alias("of"), F.col("piece").alias("at_piece")).agg(F.count("*").alias("c"))
+    ends = written(ends.select("of", "at_piece", F.coalesce(before, F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("of")).alias("_n")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(key, "piece").orderBy(at)) - 1
+    return told(parts, ends, key).withColumn("_at", place).select(*rows.columns, "_at", "_n")

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import written
+from . import pieces
 from .noise_floor import Floor
 from .projection import Rig
 
 BINS = 40
+#: Frames of a stream that one task numbers.
+STREAM_FRAMES = 1_000_000
 
 
 def histogram(values: DataFrame, column: str, bins: int = BINS) -> DataFrame:
@@ -49,25 +53,32 @@ def cell_colour(value: Column, good: float, warning: float, bad: float) -> Colum
 
 def spread_frames(frames: DataFrame, count: int, key: str = "rig") -> DataFrame:
     """At most ``count`` frames of each stream, evenly spread by frame_index and rounded, first and last among them."""
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = frames.withColumns({"_at": F.row_number().over(Window.partitionBy(key).orderBy("frame_index")) - 1, "_n": n})
-    k = F.least(F.lit(count), F.col("_n"))
-    spots = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.bround(F.when(k > 1, i * (F.col("_n") - 1) / F.greatest(k - 1, F.lit(1))).otherwise(0.0)).cast("int"))
-    return ranked.where(F.array_contains(spots, F.col("_at"))).drop("_at", "_n")
+    ranked = pieces.numbered(frames, key, "frame_index", STREAM_FRAMES)
+    k = F.least(F.lit(count).cast("long"), F.col("_n"))
+    spots = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.bround(F.when(k > 1, i * (F.col("_n") - 1) / F.greatest(k - 1, F.lit(1))).otherwise(0.0)).cast("long"))
+    return ranked.where(F.array_contains(spots, F.col("_at").cast("long"))).drop("_at", "_n")
 
 
 def frames_around(frames: DataFrame, reach: int = 5, key: str = "rig") -> DataFrame:
-    """Adds around: the indices of up to ``reach`` frames before and after each, itself left out."""
-    w = Window.partitionBy(key).orderBy("frame_index")
-    ids = lambda lo, hi: F.collect_list("frame_index").over(w.rowsBetween(lo, hi))
-    return frames.withColumn("around", F.concat(ids(-reach, -1), ids(1, reach)))
+    """Adds around: the indices of up to ``reach`` frames before and after each, itself left out, in order.
+
+    In streams of over STREAM_FRAMES frames each frame is sent to the places that it is near, so no task holds a stream.
+    """
+    if pieces.longest(frames, key) <= STREAM_FRAMES:
+        w = Window.partitionBy(key).orderBy("frame_index")
+        ids = lambda lo, hi: F.collect_list("frame_index").over(w.rowsBetween(lo, hi))
+        return frames.withColumn("around", F.concat(ids(-reach, -1), ids(1, reach)))
+    at = written(pieces.numbered(frames, key, "frame_index", STREAM_FRAMES).drop("_n"))
+    steps = F.explode(F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d]))
+    sent = at.select(F.col(key).alias("_of"), F.col("_at").alias("_from"), F.col("frame_index").alias("_i"), steps.alias("_d")).withColumn("_to", F.col("_from") + F.col("_d"))
+    near = sent.groupBy("_of", "_to").agg(F.transform(F.sort_array(F.collect_list(F.struct("_from", "_i"))), lambda x: x["_i"]).alias("around"))  # 2 * reach at most
+    out = at.join(near, pieces.same(key, "_of") & (F.col("_at") == F.col("_to")), "left")
+    return out.select(*frames.columns, F.coalesce("around", F.array()).cast(f"array<{frames.schema['frame_index'].dataType.simpleString()}>").alias("around"))
 
 
 def headline_frame(frames: DataFrame, key: str = "rig") -> DataFrame:
     """The middle frame of each stream."""
-    w = Window.partitionBy(key)
-    at = F.row_number().over(w.orderBy("frame_index")) - 1
-    return frames.withColumns({"_at": at, "_n": F.count("*").over(w)}).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
+    return pieces.numbered(frames, key, "frame_index", STREAM_FRAMES).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
 
 
 def sampled_points(points: DataFrame, limit: int, key: str = "point_id", group: str = "frame_id") -> DataFrame:
