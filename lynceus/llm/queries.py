@@ -64,12 +64,20 @@ WITH RECURSIVE rules(v, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
          ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 pg AS (SELECT page_id, url, html, row_number() OVER () AS uid FROM pages),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM pg),
+markup AS (
+  SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'g') AS html
+  FROM pg WHERE regexp_matches(html, '(?i)canonical|refresh')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM markup),
+content AS (
+  SELECT url, t, regexp_extract(t, '(?is)\bcontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^"''\s>]+))', ['a', 'b', 'c']) AS v,
+    regexp_extract(t, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^"''\s>]+))', ['a', 'b', 'c']) AS h FROM tags),
+target AS (
+  SELECT url, t, h, regexp_extract(trim(v.a || v.b || v.c, e' \t\n\f\r'), '(?is)\burl\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''].*))', ['a', 'b', 'c']) AS r FROM content),
 links AS (
   SELECT url AS f, CASE
-      WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-      WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
-    END AS t FROM tags),
+      WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN trim(h.a || h.b || h.c, e' \t\n\f\r')
+      WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN trim(r.a || r.b || r.c, e' \t\n\f\r')
+    END AS t FROM target),
 whole AS (
   SELECT f, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(f, '(?s)^(.*?:)//', 1) || t
     WHEN starts_with(t, '/') THEN regexp_extract(f, '(?s)^(.*?://[^/?#]*)', 1) || t END AS t

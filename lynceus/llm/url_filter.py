@@ -21,8 +21,13 @@ PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 IS_CANONICAL = r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 IS_REFRESH = r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What is no markup: comments (an open one reaches to the end), scripts and styles.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: An attribute's value in double, in single or without quotes; and the target in the value of a refresh.
+HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+CONTENT = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+REFRESH_URL = r"(?is)\burl\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+SPACES = " \t\n\f\r"
 ABSOLUTE = r"(?i)^[a-z][a-z0-9+.-]*://"
 SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
@@ -116,11 +121,19 @@ def _with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     return urls.withColumn("own", _rule_in_place(rules))
 
 
+def _value(pattern: str, text: Column) -> Column:
+    """The group of ``pattern`` that matched, without white space around."""
+    return F.btrim(F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3))), F.lit(SPACES))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) from pages to their canonical and refresh targets; relative targets are resolved on the page's url."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(TAG), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(IS_CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    """Edges (a, b) from pages to their canonical and refresh targets; relative targets are resolved on the page's url.
+
+    Quoted targets may hold blanks and the other quote. Links in comments, scripts and styles don't count.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), NO_MARKUP, " "), F.lit(TAG), F.lit(0))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(IS_CANONICAL)), lambda t: _value(HREF, t))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike(IS_REFRESH)), lambda t: _value(REFRESH_URL, _value(CONTENT, t)))
     links = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("from"), F.explode(F.concat(canonical, refresh)).alias("to"))
     to = resolved(F.col("from"), F.col("to"))
     return links.where(F.col("from").contains("://") & (F.col("to") != "")).select(

@@ -76,3 +76,40 @@ def test_components_equal_search_by_hand(spark):
     assert url_filter.judge_urls(df.limit(0), RULES).count() == 0
     many = RULES + [("block", f"h{k}.org", "/") for k in range(300)]  # joined instead of tested in place
     assert sorted((r["page_id"], r["verdict"]) for r in url_filter.judge_urls(df, many, redirects=more).collect()) == want
+
+
+ODD = {
+    """<link rel="canonical" href="it's here.html">""": "http://a.org/it's here.html",
+    """<link rel='canonical' href=' say "x" '>""": 'http://a.org/say "x"',
+    "<link rel=canonical href=plain>": "http://a.org/plain",
+    """<meta http-equiv="refresh" content="0; url='b c.html'">""": "http://a.org/b c.html",
+    """<meta http-equiv=refresh content="3;URL=http://b.org/it's">""": "http://b.org/it's",
+    "<meta http-equiv=refresh content=0;url=d>": "http://a.org/d",
+    "<!-- <link rel=canonical href=old> --><link rel=canonical href=new>": "http://a.org/new",
+    "<script>var s = '<link rel=canonical href=s>'</script >": None,
+    "<style>/* <link rel=canonical href=s> */": None,
+    "<!-- open <link rel=canonical href=old>": None,
+    """<meta http-equiv="refresh" content="30">""": None,
+    "<link rel=canonical>": None,
+}
+
+
+def test_quotes_and_what_is_no_markup(spark):
+    import duckdb
+
+    from lynceus.llm import queries
+
+    pages = [(i, f"http://a.org/p{i}", html) for i, html in enumerate(ODD)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["a"]: r["b"] for r in url_filter.page_links(df).collect()}
+    assert got == {u: ODD[html] for _, u, html in pages if ODD[html]}
+    # The SQL finds the same links where they name a whole url.
+    whole = [(1, "http://x.net/1", """<link rel=canonical href="http://y.net/fr/it's a">"""), (2, "http://x.net/2", "<meta http-equiv=refresh content=\"0; url='http://y.net/fr/b c'\">"),
+             (3, "http://x.net/3", "<!-- <link rel=canonical href=http://y.net/fr/> -->"), (4, "http://x.net/4", "<link rel=canonical href='//y.net/fr/' >"), (5, None, None)]
+    df = spark.createDataFrame(whole, "page_id long, url string, html string")
+    mine = sorted((r["page_id"], r["verdict"]) for r in url_filter.judge_urls(df, queries.URL_RULES).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", whole)
+    theirs = con.sql(queries.ORACLES["op5_redirect_url_filter"]).fetchall()
+    assert mine == sorted((r[0], r[4]) for r in theirs) == [(1, "block"), (2, "block"), (3, "allow"), (4, "block"), (5, "allow")]
