@@ -32,12 +32,13 @@ def coarse_offset(camera: np.ndarray, lidar: np.ndarray) -> float:
     return float(np.median(camera - np.where(np.abs(early - camera) <= np.abs(late - camera), early, late)))
 
 
-def nearest_of_any(left: DataFrame, right: DataFrame, key: str = "rig") -> DataFrame:
-    """key, left_id, right_id, diff_s (left less right) of the nearest right time at any distance; of two equally near ones the earlier.
+def beside(left: DataFrame, right: DataFrame, key: str = "rig") -> DataFrame:
+    """key, id, t of each left row, early and late: (t, id) of the last right row up to its time and of the first one after it, null where there is none.
 
     Both streams (key, id, t) are ordered runs in which the last right row before and the first after are looked up: a
     short recording is one run, a long one is cut into pieces, and each piece is told the last and first right row of
-    the pieces around it. Rows without any right one are left out.
+    the pieces around it. Both look-ups run on from row to row, the second one backwards: a window that begins after
+    its row would be read anew for every row.
     """
     both = left.select(key, "id", "t", F.lit(1).alias("side")).unionByName(right.select(key, "id", "t", F.lit(0).alias("side"))).where("t is not null")
     own, none = F.when(F.col("side") == 0, F.struct("t", "id")), F.lit(None)
@@ -46,16 +47,29 @@ def nearest_of_any(left: DataFrame, right: DataFrame, key: str = "rig") -> DataF
     else:
         run, cut = [key, "piece"], pieces.cut(both, key, "t", PIECE_ROWS)
         ends = cut.groupBy(key, "piece").agg(F.max(own).alias("last"), F.min(own).alias("first"))
-        w = Window.partitionBy(key).orderBy("piece")  # one row a piece
-        ends = written(ends.select(F.col(key).alias("of"), F.col("piece").alias("at_piece"), F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("coming")))
+        known = lambda c, *order: F.last(c, True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  one row a piece
+        ends = written(ends.select(F.col(key).alias("of"), F.col("piece").alias("at_piece"), known("last", "piece").alias("carried"), known("first", F.desc("piece")).alias("coming")))
         placed = pieces.told(cut, ends, key)
-    w = Window.partitionBy(*run).orderBy("t", "side", "id")
-    seen = placed.withColumns({
-        "early": F.coalesce(F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")),
-        "late": F.coalesce(F.first(own, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("coming")),
-    }).where("side = 1")
-    nearer = F.when(F.col("late").isNull() | (F.col("t") - F.col("early.t") <= F.col("late.t") - F.col("t")), F.col("early")).otherwise(F.col("late"))
-    return seen.withColumn("m", nearer).where("m is not null").select(key, F.col("id").alias("left_id"), F.col("m.id").alias("right_id"), (F.col("t") - F.col("m.t")).alias("diff_s"))
+    w = Window.partitionBy(*run)
+    onward, back = w.orderBy("t", "side", "id"), w.orderBy(F.desc("t"), F.desc("side"), F.desc("id"))
+    return placed.withColumns({
+        "early": F.coalesce(F.last(own, True).over(onward.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")),
+        "late": F.coalesce(F.last(own, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.col("coming")),
+    }).where("side = 1").select(key, "id", "t", "early", "late")
+
+
+def nearer_side() -> Column:
+    """Of ``early`` and ``late`` the one nearer to t; of two equally near ones the earlier."""
+    return F.when(F.col("late").isNull() | (F.col("t") - F.col("early.t") <= F.col("late.t") - F.col("t")), F.col("early")).otherwise(F.col("late"))
+
+
+def nearest_of_any(left: DataFrame, right: DataFrame, key: str = "rig") -> DataFrame:
+    """key, left_id, right_id, diff_s (left less right) of the nearest right time at any distance; of two equally near ones the earlier.
+
+    Rows without any right one are left out.
+    """
+    seen = beside(left, right, key).withColumn("m", nearer_side()).where("m is not null")
+    return seen.select(key, F.col("id").alias("left_id"), F.col("m.id").alias("right_id"), (F.col("t") - F.col("m.t")).alias("diff_s"))
 
 
 def nearest_places(aim: np.ndarray, lidar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
