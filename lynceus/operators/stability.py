@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..tables import written
+from . import sync
 from .noise_floor import Floor, classify, severity
 from .order_statistics import exact_percentiles
 
@@ -203,14 +204,15 @@ def two_sided_p(t: Column, degrees: Column) -> Column:
 def nearest_in_time(left: DataFrame, right: DataFrame, bucket_s: float) -> DataFrame:
     """For each left (id, t) the nearest right one within ``bucket_s`` seconds: left_id, right_id, diff_s (right minus left); of equal ones the earlier.
 
-    Streams are cut into buckets of that length, and a row meets its own and the next two.
+    Right rows of one time are one row, that of the smallest id; both streams are then one ordered run, or pieces of
+    one, in which each left row meets the right row before and the one after it. So the work does not grow with how
+    many rows lie within ``bucket_s``.
     """
-    cut = lambda c: F.floor(F.col(c) / bucket_s)
-    l = left.select(F.col("id").alias("left_id"), F.col("t").alias("lt")).withColumn("b", F.explode(F.array(cut("lt") - 1, cut("lt"), cut("lt") + 1)))
-    r = right.select(F.col("id").alias("right_id"), F.col("t").alias("rt")).withColumn("b", cut("rt"))
-    near = l.join(r, "b").withColumn("diff_s", F.col("rt") - F.col("lt")).where(F.abs("diff_s") <= bucket_s)
-    best = F.min(F.struct(F.abs("diff_s").alias("d"), F.col("rt"), F.col("right_id"), F.col("diff_s")))
-    return near.groupBy("left_id").agg(best.alias("m")).select("left_id", "m.right_id", "m.diff_s")
+    l = left.select(F.lit(0).alias("run"), "id", "t")
+    r = right.groupBy("t").agg(F.min("id").alias("id")).select(F.lit(0).alias("run"), "id", "t")
+    near = sync.beside(l, r, "run").withColumn("m", sync.nearer_side()).where("m is not null").withColumn("diff_s", F.col("m.t") - F.col("t")).where(F.abs("diff_s") <= bucket_s)
+    best = F.min(F.struct(F.abs("diff_s").alias("d"), F.col("m.t").alias("rt"), F.col("m.id").alias("right_id"), F.col("diff_s")))
+    return near.groupBy(F.col("id").alias("left_id")).agg(best.alias("m")).select("left_id", "m.right_id", "m.diff_s")
 
 
 def report_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -199,3 +199,25 @@ def test_parts_with_seeds():
     seeds = np.zeros_like(spiral)
     seeds[0, 0] = True
     assert (images.with_seeds(spiral, seeds) == flood(spiral, seeds)).all() and images.with_seeds(spiral, seeds).sum() > 2000
+
+
+def test_nearest_rows_of_dense_streams(spark):
+    """60,000 rows a side within one bucket and one piece: pairs of all, or windows read anew for each row, would take many minutes."""
+    import time
+
+    from lynceus.operators import stability
+
+    h = "CAST(pmod(xxhash64(id, {}), 40000) AS DOUBLE) / 64"
+    left, right = (spark.range(60_000).selectExpr("1 AS rig", "id", f"{h.format(k)} AS t") for k in (1, 2))
+    began = time.time()
+    near = {r["left_id"]: r for r in sync.nearest_of_any(left, right).collect()}
+    within = {r["left_id"]: r for r in stability.nearest_in_time(left, right, 600.0).collect()}
+    assert time.time() - began < 90
+    ids, t = (np.array(x) for x in zip(*[(r["id"], r["t"]) for r in right.orderBy("t", "id").collect()]))
+    mine = left.collect()
+    assert len(near) == len(within) == len(mine)
+    for r in mine[::50]:
+        d = np.abs(t - r["t"])
+        first = int(np.argmin(d))  # the earliest of the nearest, and of its time the smallest id
+        assert (within[r["id"]]["right_id"], within[r["id"]]["diff_s"]) == (ids[first], t[first] - r["t"])
+        assert near[r["id"]]["diff_s"] == r["t"] - t[first]
