@@ -221,3 +221,35 @@ def test_nearest_rows_of_dense_streams(spark):
         first = int(np.argmin(d))  # the earliest of the nearest, and of its time the smallest id
         assert (within[r["id"]]["right_id"], within[r["id"]]["diff_s"]) == (ids[first], t[first] - r["t"])
         assert near[r["id"]]["diff_s"] == r["t"] - t[first]
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far by this session."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_points_are_shuffled_about_once_for_their_neighbours(spark):
+    """Nine copies of each point, and edge points worked out again for each of their readers, were some twenty times the rows."""
+    from lynceus.operators import neighbours, radius
+
+    rng = random.Random(4)
+    rows = [(i % 2, i, rng.uniform(-250, 420), rng.uniform(-10, 230), float(rng.choice([5, 5, 5, 6, 9]))) for i in range(6000)]
+    rows += [(1, 6000 + i, 192.0 * (i % 3), 192.0 + (i // 3 - 2) * 1.5, 5.0 + i % 2) for i in range(12)]  # on the tiles' sides
+    df = spark.createDataFrame(rows, "frame_id int, point_id int, u double, v double, depth double").repartition(3)
+    before = shuffled_rows(spark)
+    edges = radius.edge_points(df)
+    got = neighbours.edge_directions(edges).select("point_id").collect()
+    moved = shuffled_rows(spark) - before
+    want = set()
+    for f in (0, 1):
+        i, u, v, d = (np.array([r[k] for r in rows if r[0] == f]) for k in (1, 2, 3, 4))
+        near = (u[:, None] - u) ** 2 + (v[:, None] - v) ** 2 <= 9
+        low, high = np.where(near, d, np.inf).min(1), np.where(near, d, -np.inf).max(1)
+        want |= set(i[(near.sum(1) >= 3) & (high - low > 0.3) & (d <= low + 1e-9)].tolist())
+    assert {r["point_id"] for r in got} == want and len(got) == len(want) > 100
+    assert moved < 6 * len(rows)
