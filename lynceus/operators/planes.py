@@ -18,8 +18,10 @@ from .projection import Rig, project
 
 #: Fixed values.
 DISTANCE_M, ROUNDS, MIN_SHARE, MARGIN_PX, MIN_OUTLINE = 0.05, 300, 0.10, 4.0, 30
-#: Frames whose planes (300 of 40 bytes each) are broadcast.
+#: Frames whose numbers of blocks are broadcast.
 BROADCAST_FRAMES = 5_000
+#: Points of a frame that meet its planes in one task, and of them those whose distances to a plane are reckoned at once, which caches hold.
+BLOCK_ROWS, CHUNK = 65_536, 8_192
 #: Points that a task numbers.
 PIECE_ROWS = 500_000
 
@@ -71,28 +73,29 @@ def candidate_planes(placed: DataFrame, triples: DataFrame) -> DataFrame:
 def near_counts(placed: DataFrame, planes: DataFrame, distance_m: float) -> DataFrame:
     """frame_id, counts: for each of a frame's planes the points within ``distance_m`` of it.
 
-    Points meet one row a frame, and each batch counts all planes at once and sends one vector a frame: no row for a
-    point and a plane exists, and a frame's points stay where they are. The planes are broadcast within a bound, or come by a join.
+    A frame's points (``placed``, as ``numbered`` gives them) are taken in blocks of up to 65,536, and each block meets
+    its frame's planes once, as one row, not once a point. It counts all planes at once and sends one vector: no row
+    for a point and a plane exists.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.column("frame_id").to_numpy(zero_copy_only=False)
-            xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"])
-            for f in np.unique(frame):
-                at = np.nonzero(frame == f)[0]
-                p = batch.column("planes")[int(at[0])].values
-                n, offset = np.stack([p.field(c).to_numpy() for c in ("nx", "ny", "nz")], 1), p.field("offset").to_numpy()
-                total = np.zeros(len(n), np.int64)
-                for some in np.array_split(at, max(1, len(at) * len(n) // 1_000_000)):
-                    x, y, z = xyz[:, some]
-                    # The order of the sum is that of the column expression of ``inlier_points``.
-                    total += (np.abs(n[:, :1] * x + n[:, 1:2] * y + n[:, 2:] * z + offset[:, None]) <= distance_m).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array([int(f)]), pa.array([total], pa.list_(pa.int64()))], ["frame_id", "counts"])
-
-    planes = written(planes)
-    met = placed.select(F.col("frame_id").cast("long").alias("frame_id"), *"xyz").join(broadcast_within(planes, BROADCAST_FRAMES), "frame_id")
-    parts = met.mapInArrow(count, "frame_id long, counts array<long>")
+    def count(points: pa.Table, found: pa.Table) -> pa.Table:
+        if not points.num_rows or not found.num_rows:
+            return pa.table({"frame_id": pa.array([], pa.int64()), "counts": pa.array([], pa.list_(pa.int64()))})
+        x, y, z = (points.column(c).to_numpy() for c in "xyz")
+        p = found.column("planes").combine_chunks().flatten()
+        n, offset = np.stack([p.field(c).to_numpy() for c in ("nx", "ny", "nz")], 1), p.field("offset").to_numpy()
+        total = np.zeros(len(n), np.int64)
+        for a in range(0, len(x), CHUNK):
+            some = slice(a, a + CHUNK)
+            for k in range(len(n)):
+                # The order of the sum is that of the column expression of ``inlier_points``.
+                total[k] += np.count_nonzero(np.abs(n[k, 0] * x[some] + n[k, 1] * y[some] + n[k, 2] * z[some] + offset[k]) <= distance_m)
+        return pa.table({"frame_id": found.column("frame_id"), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    blocks = placed.select(F.col("frame_id").cast("long").alias("frame_id"), *"xyz", F.expr(f"at div {BLOCK_ROWS}").alias("block"))
+    last = placed.groupBy(F.col("frame_id").cast("long").alias("frame_id")).agg(F.expr(f"max(at) div {BLOCK_ROWS}").alias("last"))
+    told = planes.select("frame_id", "planes").join(broadcast_within(written(last), BROADCAST_FRAMES), "frame_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
+    parts = blocks.groupBy("frame_id", "block").cogroup(told.groupBy("frame_id", "block")).applyInArrow(count, "frame_id long, counts array<long>")
     added = parts.select("frame_id", F.posexplode("counts").alias("i", "c")).groupBy("frame_id", "i").agg(F.sum("c").alias("c"))
     return added.groupBy("frame_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("counts"))
 

@@ -253,3 +253,23 @@ def test_points_are_shuffled_about_once_for_their_neighbours(spark):
         want |= set(i[(near.sum(1) >= 3) & (high - low > 0.3) & (d <= low + 1e-9)].tolist())
     assert {r["point_id"] for r in got} == want and len(got) == len(want) > 100
     assert moved < 6 * len(rows)
+
+
+def test_planes_meet_blocks_of_points(spark, monkeypatch):
+    """A frame's planes come once to each block of its points, not to each point; blocks of any size count the same."""
+    from lynceus.operators import planes
+
+    rng = random.Random(6)
+    rows = [(f, i, rng.random() * 4, rng.random() * 4, 1.0 if i % 2 else rng.random()) for f in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double")
+    want = sorted(map(tuple, planes.dominant_planes(df).collect()))
+    monkeypatch.setattr(planes, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(planes, "CHUNK", 10)
+    got = planes.dominant_planes(df)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2
+    placed = planes.numbered(df)
+    found = planes.candidate_planes(placed, planes.random_triples(df.groupBy("frame_id").count().withColumnRenamed("count", "n")))
+    counts = {r["frame_id"]: r["counts"] for r in planes.near_counts(placed, found, 0.05).collect()}
+    for r in found.collect():
+        xyz = np.array([p[2:] for p in rows if p[0] == r["frame_id"]])
+        assert counts[r["frame_id"]] == [int((abs(xyz @ [p["nx"], p["ny"], p["nz"]] + p["offset"]) <= 0.05).sum()) for p in r["planes"]]
