@@ -32,3 +32,13 @@ def test_pieces_hold_each_id_once(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_of_a_large_vocabulary_are_learnt_once(monkeypatch):
+    tok, learnt = packing.ChunkTokenizer(PATH), []
+    learn = tok._learn
+    monkeypatch.setattr(tok, "_learn", lambda chunks: (learnt.append(len(chunks)), learn(chunks)))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(i).translate(letters) for i in range(250_000))
+    first, again = (tok.encode([text])[0] for _ in range(2))
+    assert learnt == [250_000] and (first == again).all()
