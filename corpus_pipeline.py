@@ -10,6 +10,8 @@ from lynceus.llm import decontamination, exact_dedup, jaccard_join, language_id,
 from lynceus.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Chunks that a packing task keeps in mind: fewer than op4 has, for the executors' heaps are full after the stages before.
+REMEMBERED = 100_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' tokens, each with its ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

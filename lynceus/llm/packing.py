@@ -12,6 +12,7 @@ from __future__ import annotations
 import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, small_batches
+from .common import give_back_memory, row_slices, small_batches
 
 SEQUENCE = 4096
 END_ID = 2
@@ -45,10 +46,11 @@ class ChunkTokenizer:
     control character whose id is known.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMORY_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = most
         self.separator = self._encode(SEPARATOR)[0]
         self.forget()
 
@@ -58,19 +60,20 @@ class ChunkTokenizer:
     def forget(self) -> None:
         self.long = False
         self.code: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        #: Ids of words and of what follows them, as four bytes each: lists of numbers would take five times the memory.
+        self.parts: dict[bytes, bytes] = {}
         self.flat: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str, key: bytes) -> bytes:
         """Ids of a run of lower-case letters, straight from the merges."""
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = self.parts[word] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        mapped = word if word.isascii() else key.decode("latin-1").translate(BYTE_LETTERS)
+        ids = self.parts[key] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def _tail(self, tail: str) -> list[int]:
+    def _tail(self, tail: bytes) -> bytes:
         if tail not in self.parts:
-            self.parts[tail] = self._encode(tail)
+            self.parts[tail] = array("I", self._encode(tail.decode())).tobytes()
         return self.parts[tail]
 
     def _learn(self, chunks: list[bytes]) -> None:
@@ -78,19 +81,20 @@ class ChunkTokenizer:
         for c in chunks:
             text = c.decode()
             word = text.rstrip(TAIL)
-            own = known(word)
+            key = c[: len(c) - (len(text) - len(word))] if len(word) < len(text) else c  # the tail is ASCII
+            own = known(key)
             if own is None and word.isalpha() and len(c) <= MEMORY_BYTES and (c.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))):
-                own = self._word(word)
+                own = self._word(word, key)
             if own is None or not word or "<|" in text:
                 (plain if len(c) <= MEMORY_BYTES and b"\x01" not in c else odd).append(c)
                 continue
             if len(word) < len(text):
-                own = own + self._tail(text[len(word) :])
+                own = own + self._tail(c[len(key) :])
             self.code[c] = n
             n += 1
-            ids += own
-            sizes.append(len(own))
-        self.flat.append(np.array(ids, np.uint32))
+            ids.append(own)
+            sizes.append(len(own) // 4)
+        self.flat.append(np.frombuffer(b"".join(ids), np.uint32))
         self.sizes.append(np.array(sizes, np.int64))
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
@@ -111,7 +115,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
-        if len(self.code) > MEMORY_CHUNKS:
+        if len(self.code) > self.most:
             self.forget()
         chunks: list[bytes] = []
         counts = []
@@ -164,8 +168,8 @@ def _groups(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield keys[start:], texts[start:]
 
 
-def piece_batches(batches: Iterator[pa.RecordBatch], path: str, longest: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tok = ChunkTokenizer(path)
+def piece_batches(batches: Iterator[pa.RecordBatch], path: str, longest: int, with_ids: bool, remembered: int = MEMORY_CHUNKS) -> Iterator[pa.RecordBatch]:
+    tok = ChunkTokenizer(path, remembered)
     for batch in row_slices(batches):
         for keys, texts in _groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids, counts = tok.encode([t or "" for t in texts])
@@ -188,15 +192,18 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, longest: int, wi
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+    # The tokenizer and what it remembers go first, else the worker waits for its next task with both.
+    del tok
+    give_back_memory()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", longest: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", longest: int = SEQUENCE, with_ids: bool = False, remembered: int = MEMORY_CHUNKS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked for.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself.
     A text of any length is cut whole. An empty table gives an empty result; other
     columns are ignored. sequence_id grows with the bucket: all sequences of one
-    length lie together in its order.
+    length lie together in its order. ``remembered``: distinct chunks that a task keeps in mind; it changes no result.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
@@ -204,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     pieces = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        lambda batches: piece_batches(batches, tokenizer_path, longest, with_ids), schema
+        lambda batches: piece_batches(batches, tokenizer_path, longest, with_ids, remembered), schema
     )
     bucket = F.log2("length").cast("long")
     return pieces.select(
