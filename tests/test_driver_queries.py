@@ -61,3 +61,12 @@ def test_outliers_and_wrap(spark):
     ring = spark.createDataFrame([(0, 0, a, 5.0 if a < 18 else 10.0) for a in range(36)], "frame_id int, ring int, az int, range_m double")
     edge = lambda **k: sorted(r["az"] for r in scans.edge_cells(ring, 1.0, 36, **k).collect())
     assert edge() == [0, 17] and edge(wrap=False) == [17]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_axis_sensitivity_has_every_axis(spark, duck):
+    """All six axes, each by its least and its largest step, as the 54 candidates have them."""
+    axes = ["pitch_deg", "roll_deg", "tx", "ty", "tz", "yaw_deg"]
+    assert sorted(duck.sql(ORACLES["axis_sensitivity_m2"]).df()["axis"]) == axes
+    mine = QUERIES["axis_sensitivity_m2"](spark, DATA).toPandas()
+    assert sorted(mine["axis"]) == axes and (mine["small_px"] != mine["large_px"]).all()
